@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, record, staged
+from .shared import blocks, inverted, record, staged
 
 #: Length classes; with many more the linear program takes minutes, with fewer rounding pads more.
 CLASSES = 128
@@ -92,13 +92,13 @@ def generate(lengths: np.ndarray, demand: np.ndarray, room: int, tolerance: floa
     x = demand / (room // lengths)
     for step in range(most):
         if step % 500 == 499:
-            inverse = np.linalg.inv(np.array(columns, float).T)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = inverted(np.array(columns).T)
+            x = np.maximum((inverse * demand).sum(axis=1), 0)
         prices = inverse.sum(axis=0)
         value, pattern = gain(np.maximum(prices, 0), lengths, room)
         if value <= 1 + tolerance:
             break
-        u = inverse @ pattern
+        u = (inverse * pattern).sum(axis=1)
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         r = int(ratio.argmin())
         if not np.isfinite(ratio[r]):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, blocks, small_side, staged, text_bytes, word_hashes
+from .shared import SPACE, blocks, inverted, small_side, staged, text_bytes, word_hashes
 
 #: Labelled documents that the classifier is fitted on, at most.
 TAUGHT = 20_000
@@ -57,7 +57,7 @@ class Classifier:
     def evidence(self, features: np.ndarray) -> np.ndarray:
         """Log-odds of good."""
         z = (features[:, : len(self.centre)] - self.centre) / self.scale
-        return np.clip(np.column_stack([np.ones(len(z)), z, np.maximum(z, 0) ** 2]) @ self.weights, -30, 30)
+        return np.clip((np.column_stack([np.ones(len(z)), z, np.maximum(z, 0) ** 2]) * self.weights).sum(axis=1), -30, 30)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Classifier:
@@ -73,8 +73,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
         keep = np.full(len(w), ridge)
         keep[0] = 1e-6
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * w)
+            p = 1 / (1 + np.exp(-np.clip((z * w).sum(axis=1), -30, 30)))
+            curve = np.einsum("ni,nj->ij", z * (p * (1 - p))[:, None], z) + np.diag(keep)
+            step = (inverted(curve) * ((z * (y - p)[:, None]).sum(axis=0) - keep * w)).sum(axis=1)
             w += step
             if np.abs(step).max() < 1e-8:
                 break

@@ -108,6 +108,22 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return scramble(np.add.reduceat(value, starts - starts[0])), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan inverse of a small matrix. Threads of BLAS can stall in a process that also hosts a JVM's threads."""
+    n = len(matrix)
+    a = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        p = i + int(np.abs(a[i:, i]).argmax())
+        if not a[p, i]:
+            raise ValueError("matrix is singular")
+        a[[i, p]] = a[[p, i]]
+        a[i] /= a[i, i]
+        column = a[:, i].copy()
+        column[i] = 0
+        a -= column[:, None] * a[i]
+    return a[:, n:]
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A batch of ``schema`` from plain sequences or arrays."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
