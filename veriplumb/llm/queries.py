@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, neardup, packing, quality, sharding, urlfilter, warc
+from . import langid, media, mixing, neardup, packing, quality, sharding, urlfilter, vecdup, warc
 from .shared import table
 
 SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(64)], 6553
@@ -60,8 +60,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), labels)
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_media, op3_sharding, op4_mixing, op5_minhash, op6_url_filter, op7_warc, op8_language, op9_quality)
+    f.__name__: f for f in (op1_packing, op2_media, op3_sharding, op4_mixing, op5_minhash, op6_url_filter, op7_warc, op8_language, op9_quality, op10_vectors)
 }
 
 ORACLE_SQL: dict[str, str] = {}
