@@ -8,7 +8,8 @@ collisions counted from the signatures of pairs found. Each candidate is confirm
 
 Postings of large groups give no squares of pairs: each posting first links its members to its hub, the member whose
 values are the most common. Confirmed links are contracted to components. A second pass compares, in blocks, just the
-members of one posting that are in different components, and only pairs with enough collisions leave a task.
+members of one posting that are in different components; of the pairs with enough collisions a spanning forest leaves the
+task. Its trees are clusters, whose full sets are then compared exactly, again only between components.
 
 Of pairs with a similarity of exactly 0.8, about one in five thousand has too few collisions, of pairs at 0.85 one in a
 million; that is the method's only loss, and a group loses no member whose other links hold.
@@ -29,8 +30,8 @@ from .shared import blocks, record, scramble, small_side, staged, text_bytes, wo
 
 COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
-#: Members of a posting that are compared with one another at a time in the second pass.
-SIDE = 256
+#: Members of a posting, or of a cluster, that are compared with one another at a time in the second pass.
+SIDE = 1024
 _FACTOR = scramble(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = scramble(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 
@@ -78,56 +79,117 @@ def _sets(words: int):
 
 def _confirm(words: int, percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[int, np.ndarray] = {}  # sets of hubs, whose rows come together
         for whole in batches:
             for b in blocks([whole], "text_a", 4 << 20):
                 u, v = b.column("u").to_pylist(), b.column("v").to_pylist()
+                kept = {k: kept[k] for k in set(u) & set(kept)}
+                first = {k: i for i, k in reversed(list(enumerate(u))) if k not in kept}
+                kept |= dict(zip(first, shingle_sets(b.column("text_a").take(pa.array(list(first.values()), pa.int64())), words), strict=True))
                 links = []
-                second = shingle_sets(b.column("text_b"), words)
-                fresh = [i for i, x in enumerate(u) if x not in kept and x not in u[:i]] if len(kept) < 64 else list(dict.fromkeys(u).keys())
-                if len(kept) >= 64:
-                    kept.clear()
-                    fresh = [u.index(x) for x in fresh]
-                for i, s in zip(fresh, shingle_sets(b.column("text_a").take(pa.array(fresh, pa.int64())), words) if fresh else [], strict=True):
-                    kept[u[i]] = s
-                for x, y, s in zip(u, v, second, strict=True):
+                for x, y, s in zip(u, v, shingle_sets(b.column("text_b"), words), strict=True):
                     common = len(np.intersect1d(kept[x], s, assume_unique=True))
                     if 100 * common >= percent * (len(kept[x]) + len(s) - common):
                         links.append((x, y))
                 if links:
-                    yield record(pa.schema([("u", pa.int64()), ("v", pa.int64())]), *(list(c) for c in zip(*links, strict=True)))
+                    yield record(LINKS, *(list(c) for c in zip(*links, strict=True)))
 
     return confirm
 
 
+class Forest:
+    """Union-find over a few numbers; ``join`` says whether its two were apart."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _outside(comp: np.ndarray) -> np.ndarray:
+    """Places whose component isn't the largest: one end of every pair of different components."""
+    kinds, where, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(where != counts.argmax())
+
+
 def _compare(matches: int):
-    """For one posting, or two blocks of one: pairs of different components with enough collisions."""
+    """For one posting, or two blocks of one: a spanning forest of the pairs of different components that collide enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        if t.num_rows:
-            node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "side"))
-            sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-            first, second = np.flatnonzero(side == low), np.flatnonzero(side == high)
-            for i in first.tolist():
-                other = second[(comp[second] != comp[i]) & ((node[second] > node[i]) if low == high else True)]
-                hits = other[(sig[other] == sig[i]).sum(axis=1) >= matches]
-                if len(hits):
-                    ends = np.column_stack([np.minimum(node[hits], node[i]), np.maximum(node[hits], node[i])])
-                    yield record(schema, ends[:, 0], ends[:, 1])
+        if not t.num_rows:
+            return
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        forest, links = Forest(len(node)), []
+        for i in _outside(comp).tolist():
+            for j in np.flatnonzero((comp != comp[i]) & ((sig == sig[i]).sum(axis=1) >= matches)).tolist():
+                if forest.join(i, j):
+                    links.append((node[i], node[j]))
+        if links:
+            yield record(LINKS, *(list(c) for c in zip(*links, strict=True)))
 
     return compare
 
 
+def _settle(words: int, percent: int):
+    """For one cluster, or two blocks of one: links of different components by their full sets, each two components once."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        if not t.num_rows:
+            return
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        sets = [x for b in blocks(t.select(["text"]).to_batches(), "text", 2 << 20) for x in shingle_sets(b.column("text"), words)]
+        size = np.array([len(x) for x in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(ids, kind="stable")
+        by_id, starts = owner[order], np.append(0, np.cumsum(np.bincount(ids)))
+        ends = np.cumsum(size)
+        kinds, where = np.unique(comp, return_inverse=True)
+        forest, links = Forest(len(kinds)), []
+        for i in _outside(comp).tolist():
+            own = ids[ends[i] - size[i] : ends[i]]
+            common = np.bincount(np.concatenate([by_id[starts[x] : starts[x + 1]] for x in own.tolist()]), minlength=len(sets))
+            for j in np.flatnonzero((comp != comp[i]) & (100 * common >= percent * (size + size[i] - common))).tolist():
+                if forest.join(int(where[i]), int(where[j])):
+                    links.append((node[i], node[j]))
+        if links:
+            yield record(LINKS, *(list(c) for c in zip(*links, strict=True)))
+
+    return settle
+
+
+def _sides(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with ``low, high``: groups of more than ``SIDE`` rows are cut, and each two cuts meet once."""
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    cut = rows.join(sizes, group).withColumn("side", F.pmod(F.xxhash64(F.lit(17), "node"), F.col("sides")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return cut.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("side", "other", "sides")
+
+
+def _texts_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, text`` of classes, staged: the text of one document of each."""
+    one = classes.join(small_side(wanted), "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    found = texts.join(small_side(one), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["text_hash"] == F.col("hash"))).select("node", "text")
+    return staged(found.groupBy("node").agg(F.first("text").alias("text")))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough. Texts are dealt to the pairs they are in."""
-    nodes = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    wanted = classes.join(small_side(nodes), "node", "left_semi").select("node", "first")
-    wanted = wanted.select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-    found = texts.join(small_side(wanted), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["text_hash"] == F.col("hash"))).select("node", "text")
-    found = staged(found.groupBy("node").agg(F.first("text").alias("text")))
+    found = _texts_of(pairs.select("u").unionAll(pairs.select("v")).distinct().withColumnRenamed("u", "node"), texts, classes)
     heads = pairs.groupBy("u").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts"))  # a hub's text goes to several tasks
     dealt = pairs.join(heads, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     first = heads.join(found.select(F.col("node").alias("u"), F.col("text").alias("text_a")), "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("u", "part", "text_a")
@@ -172,14 +234,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     # second pass: postings of three or more members that the stars have left in several components
     members = prefix.join(hubs.filter("members > 2").select("coordinate", "value"), ["coordinate", "value"]).join(small_side(joined), "node", "left")
     members = staged(members.select("coordinate", "value", "node", F.coalesce("root", "node").alias("comp")))
-    open_ = members.groupBy("coordinate", "value").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("coordinate", "value", F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
-    rest = members.join(open_, ["coordinate", "value"]).join(sigs, "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
-    pairs = rest.select("coordinate", "value", "low", "high", "node", "comp", "side", "sig").groupBy("coordinate", "value", "low", "high").applyInArrow(_compare(MATCHES), "u long, v long")
-    tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    again = staged(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
-    if not again.isEmpty():
-        joined = components(first.unionByName(_confirmed(again, texts, classes, words, percent)))
+    open_ = members.groupBy("coordinate", "value").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("coordinate", "value")
+    rest = _sides(members.join(open_, ["coordinate", "value"]), ["coordinate", "value"]).join(sigs, "node")
+    rest = rest.select("coordinate", "value", "low", "high", "node", "comp", "sig")
+    trees = components(rest.groupBy("coordinate", "value", "low", "high").applyInArrow(_compare(MATCHES), "u long, v long"))
+    trees = trees.withColumnRenamed("root", "cluster")
+    if not trees.isEmpty():
+        parts = trees.join(small_side(joined), "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("comp"))
+        parts = _sides(staged(parts), ["cluster"]).join(_texts_of(trees.select("node"), texts, classes), "node")
+        more = parts.select("cluster", "low", "high", "node", "comp", "text").groupBy("cluster", "low", "high").applyInArrow(_settle(words, percent), "u long, v long")
+        joined = components(first.unionByName(staged(more)))
     # classes that have copies or links get their component's least id
     known = classes.join(joined, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")).filter("linked or copies > 1")
     known = staged(known)
