@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import record, small_side, staged
 
-SHARD = 2000
-#: Nodes per centre, vectors that centres are fitted on (over all labels, chosen by hash), and centres of a label, at most.
-PER_CENTRE, FITTED, CENTRES = 1500, 20_000, 4096
+SHARD = 3000
+#: Nodes of a label from which on it has centres, nodes per centre, vectors that centres are fitted on (over all labels,
+#: chosen by hash), and centres of a label, at most.
+WHOLE, PER_CENTRE, FITTED, CENTRES = 1500, 750, 20_000, 4096
 #: Shards of a node: the nearest ones, and others as near but for this much in cosine.
 OVERLAP, MOST_SHARDS, SLACK = 2, 3, 0.04
-DEGREE, BEAM, ALPHA = 24, 48, 1.2
+DEGREE, BEAM, ALPHA = 16, 32, 1.2
 AUDITED = 64
 
 
@@ -81,6 +82,27 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degre
     return out
 
 
+def _add_reverse(x: np.ndarray, near: np.ndarray, to: np.ndarray, frm: np.ndarray) -> None:
+    """Adds ``frm`` to the lists of ``to``, and prunes lists that get too long."""
+    order = np.argsort(to, kind="stable")
+    to, frm = to[order], frm[order]
+    nodes, starts, counts = np.unique(to, return_index=True, return_counts=True)
+    for least, most in ((1, 8), (9, 32), (33, len(to))):  # lists of like length together
+        own = np.flatnonzero((counts >= least) & (counts <= most))
+        if not len(own):
+            continue
+        place = np.arange(counts[own].max())[None]
+        new = np.where(place < counts[own][:, None], frm[np.minimum(starts[own][:, None] + place, len(frm) - 1)], -1)
+        had = near[nodes[own]]
+        new[(new[:, :, None] == had[:, None, :]).any(axis=2)] = -1
+        both = np.concatenate([had, new], axis=1)
+        short = (both >= 0).sum(axis=1) <= near.shape[1]
+        packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), axis=1)[:, : near.shape[1]]
+        near[nodes[own[short]]] = packed[short]
+        if not short.all():
+            near[nodes[own[~short]]] = robust_prune(x, nodes[own[~short]], both[~short])
+
+
 def build(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, int]:
     """Adjacency (nodes x DEGREE, -1 for none) and medoid."""
     n = len(x)
@@ -97,14 +119,7 @@ def build(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, int]:
         near[batch] = robust_prune(x, batch, np.concatenate([ids, near[batch]], axis=1))
         to, frm = near[batch], np.repeat(batch, DEGREE).reshape(-1, DEGREE)
         to, frm = to[to >= 0], frm[to >= 0]
-        for q in np.unique(to).tolist():  # reverse edges
-            new = frm[to == q]
-            new = new[~np.isin(new, near[q])]
-            free = np.flatnonzero(near[q] < 0)
-            if len(new) <= len(free):
-                near[q, free[: len(new)]] = new
-            else:
-                near[q] = robust_prune(x, np.array([q]), np.concatenate([near[q], new])[None])[0]
+        _add_reverse(x, near, to, frm)
     return near, medoid
 
 
@@ -206,8 +221,8 @@ def _search(least: float):
 
 
 def centres_of(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Centres of each label with more than ``PER_CENTRE`` nodes, by a few rounds of k-means on a sample chosen by hash."""
-    big = {r["label"]: r["n"] for r in nodes.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > PER_CENTRE).collect()}
+    """Centres of each label with more than ``WHOLE`` nodes, by a few rounds of k-means on a sample chosen by hash."""
+    big = {r["label"]: r["n"] for r in nodes.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE).collect()}
     if not big:
         return {}
     total = sum(big.values())
