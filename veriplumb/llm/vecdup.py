@@ -34,8 +34,8 @@ DEGREE, BEAM, ALPHA = 16, 32, 1.2
 AUDITED = 64
 
 
-def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy search of all queries at once: ids and cosines of the best ``beam`` nodes of each, and all that were seen."""
+def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy search of all queries at once: ids and cosines of the best ``beam`` nodes of each."""
     q = len(queries)
     ids = np.full((q, beam), -1, np.int64)
     sims = np.full((q, beam), -np.inf, np.float32)
@@ -47,7 +47,7 @@ def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray
         best = open_.argmax(axis=1)
         active = np.flatnonzero(open_[np.arange(q), best] > -np.inf)
         if not len(active):
-            return ids, sims, seen
+            return ids, sims
         done[active, best[active]] = True
         around = near[ids[active, best[active]]]
         fresh = (around >= 0) & ~seen[active[:, None], around]
@@ -115,7 +115,7 @@ def build(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, int]:
     order = rng.permutation(n)
     for a in range(0, n, 128):
         batch = order[a : a + 128]
-        ids, _, _ = beam_search(x, near, medoid, x[batch], BEAM)
+        ids, _ = beam_search(x, near, medoid, x[batch], BEAM)
         near[batch] = robust_prune(x, batch, np.concatenate([ids, near[batch]], axis=1))
         to, frm = near[batch], np.repeat(batch, DEGREE).reshape(-1, DEGREE)
         to, frm = to[to >= 0], frm[to >= 0]
@@ -129,8 +129,10 @@ def in_range(x: np.ndarray, exact: np.ndarray, near: np.ndarray, medoid: int, le
     found = np.zeros((n, n), bool)
     for a in range(0, n, 128):
         q = np.arange(a, min(n, a + 128))
-        ids, sims, seen = beam_search(x, near, medoid, x[q], BEAM)
+        ids, sims = beam_search(x, near, medoid, x[q], BEAM)
         close = (sims >= least - slack) & (ids >= 0)
+        seen = np.zeros((len(q), n), bool)  # nodes that fell off the beam are looked at again
+        seen[np.nonzero(close)[0], ids[close]] = True
         owner, node = np.nonzero(close)[0], ids[close]
         while len(owner):
             found[q[owner], node] = True
