@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, record
+from .shared import blocks, small_batches
 
 BLOCK = 512
 UNKNOWN = "und"
@@ -69,6 +69,7 @@ class Model:
         self.languages = sorted(samples)
         texts = [" ".join(letters_of(samples[k]).split()) for k in self.languages]
         self.alphabet = np.zeros(0x110000, np.uint16)
+        self.letters = np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
         chars = sorted(set("".join(texts)) - {" "})
         for i, c in enumerate(chars):
             self.alphabet[ord(c)] = i + 2
@@ -77,32 +78,32 @@ class Model:
         tables, self.roots, base = [], [], 0
         for t in texts:
             moves = suffix_automaton(self.alphabet[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist())
-            root = np.zeros(self.width, np.int32)
+            root = np.full(self.width, len(moves), np.int32)  # no phrase goes on from a letter that the language lacks
             for c, to in moves[0].items():
                 root[c] = to
-            table = np.tile(-(root + base) - 1, (len(moves), 1))  # a phrase ends before the letter: marked by the sign
+            table = np.tile(-(root + base) - 1, (len(moves) + 1, 1))  # a phrase begins with the letter: marked by the sign
             for s, own in enumerate(moves):
                 for c, to in own.items():
                     table[s, c] = to + base
             tables.append(table)
-            self.roots.append(base)
-            base += len(moves)
+            self.roots.append(base + len(moves))
+            base += len(moves) + 1
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, codes: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Phrases of each block and language. ``codes``: letters x blocks, blocks by falling length; ``used``: lengths."""
         n = codes.shape[1]
         state = np.repeat(np.array(self.roots, np.int32)[:, None], n, axis=1)
-        count = np.ones((len(self.roots), n), np.int32)
+        count = np.zeros((len(self.roots), n), np.int32)
         alive = np.searchsorted(-used, -np.arange(codes.shape[0]), "left")
         for t in range(codes.shape[0]):
             k = int(alive[t])
             if not k:
                 break
             to = self.table[state[:, :k] * self.width + codes[t, :k]]
-            ended = to < 0
-            count[:, :k] += ended
-            state[:, :k] = np.where(ended, -1 - to, to)
+            fresh = to < 0
+            count[:, :k] += fresh
+            state[:, :k] = np.where(fresh, -1 - to, to)
         return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -110,8 +111,7 @@ class Model:
         lower = [(t or "").lower() for t in texts]
         sizes = np.array([len(t) for t in lower], np.int64)
         points = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds, where = np.unique(points, return_inverse=True)
-        is_letter = np.array([chr(k).isalpha() for k in kinds.tolist()], bool)[where] if len(points) else np.zeros(0, bool)
+        is_letter = self.letters[points]
         doc = np.repeat(np.arange(len(lower)), sizes)
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]  # one blank after each run of letters
@@ -174,7 +174,7 @@ def predictor(model_of):
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
-        for b in blocks(batches, "text", 4 << 20):
+        for b in blocks(batches, "text", 1 << 20):
             said, score = model.predict(b.column("text").to_pylist())
             keep = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
@@ -188,6 +188,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null text, and text without letters, has language ``und`` and score 0; ties go to the language first by name;
     repeated rows and null ids stay; no rows give no rows; columns besides the two named are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(predictor(shared), "doc_id long, lang_pred string, score double")
@@ -200,11 +201,12 @@ def held_out(id_col: str = "doc_id"):
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; equal names among its columns are replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def said(text: pa.Array) -> pa.Array:
-        parts = [shared.value.predict(b.column("text").to_pylist()) for b in blocks([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 4 << 20)]
+        parts = [shared.value.predict(b.column("text").to_pylist()) for b in blocks([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 1 << 20)]
         return pa.StructArray.from_arrays([pa.array([x for a, _ in parts for x in a], pa.string()), pa.array([x for _, b in parts for x in b], pa.float64())], ["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, record
+from .shared import blocks, record, small_batches
 
 #: Fixed by the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -159,6 +159,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null text is empty text, and empty text an image of 576 bytes 255; equal texts give equal images; rows that repeat
     stay; null ids stay null; no rows give no rows; further columns are ignored. A row's image is all that is in memory.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import blocks, record, scramble, small_side, staged, text_bytes, word_hashes
+from .shared import blocks, record, scramble, small_batches, small_side, staged, text_bytes, word_hashes
 
 COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
@@ -66,7 +66,7 @@ SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingle
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 2 << 20):
+        for b in blocks(batches, "text", 1 << 20):
             found = shingle_sets(b.column("text"), words)
             node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None for s in found]
             flat = np.concatenate([signature(s) for s in found if len(s)] or [np.zeros(0, np.int32)])
@@ -81,7 +81,7 @@ def _confirm(words: int, percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}  # sets of hubs, whose rows come together
         for whole in batches:
-            for b in blocks([whole], "text_a", 4 << 20):
+            for b in blocks([whole], "text_a", 1 << 20):
                 u, v = b.column("u").to_pylist(), b.column("v").to_pylist()
                 kept = {k: kept[k] for k in set(u) & set(kept)}
                 first = {k: i for i, k in reversed(list(enumerate(u))) if k not in kept}
@@ -151,7 +151,7 @@ def _settle(words: int, percent: int):
         if not t.num_rows:
             return
         node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        sets = [x for b in blocks(t.select(["text"]).to_batches(), "text", 2 << 20) for x in shingle_sets(b.column("text"), words)]
+        sets = [x for b in blocks(t.select(["text"]).to_batches(), "text", 1 << 20) for x in shingle_sets(b.column("text"), words)]
         size = np.array([len(x) for x in sets])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), size)
@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     Null ids link others, but are never a component's id unless it has no other; then their component is null and all
     are kept. Rows that repeat are judged alike; no rows give no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = staged(texts.mapInArrow(_sets(words), "doc_id long, text_hash long, n_shingles long, node long, sig array<int>"))
     grouped = sets.filter("node is not null").groupBy("node")

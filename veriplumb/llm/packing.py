@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, inverted, record, staged
+from .shared import blocks, inverted, record, small_batches, staged
 
 #: Length classes; with many more the linear program takes minutes, with fewer rounding pads more.
 CLASSES = 128
@@ -36,12 +36,11 @@ class Encoder:
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
         import base64
+        import json
 
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.json_path, self._exact, self.fast = json_path, None, None
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if ranks_path and pattern:
             import tiktoken
 
@@ -49,6 +48,14 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def exact(self):
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.json_path)
+        return self._exact
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or len(text) > 1_000_000 or any(s in text for s in self.special):
             return self.exact.encode(text, add_special_tokens=False).ids
@@ -204,6 +211,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
     repeat are packed as often; null ids are packed; no rows give no pieces; further columns are ignored. Sequences are
     numbered from 0; pieces lie in them without gaps.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long" + ", ids array<int>" * with_ids
     cut = text.mapInArrow(_cutter((json_path, ranks_path, pattern), room, with_ids), fields)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, blocks, inverted, small_side, staged, text_bytes, word_hashes
+from .shared import SPACE, blocks, inverted, small_batches, small_side, staged, text_bytes, word_hashes
 
 #: Labelled documents that the classifier is fitted on, at most.
 TAUGHT = 20_000
@@ -85,7 +85,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 def _shape_udf():
     @F.arrow_udf("array<double>")
     def shaped(text: pa.Array) -> pa.Array:
-        rows = [shape(b.column("text")) for b in blocks([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 2 << 20)]
+        rows = [shape(b.column("text")) for b in blocks([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 1 << 20)]
         return pa.array([r.tolist() for m in rows for r in m], pa.list_(pa.float64()))
 
     return shaped
@@ -94,7 +94,7 @@ def _shape_udf():
 def _evidence_udf(model: Classifier):
     @F.arrow_udf("double")
     def evidence(text: pa.Array) -> pa.Array:
-        rows = [(m := shape(b.column("text")), model.evidence(m)) for b in blocks([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 2 << 20)]
+        rows = [(m := shape(b.column("text")), model.evidence(m)) for b in blocks([pa.RecordBatch.from_arrays([text], names=["text"])], "text", 1 << 20)]
         none = np.concatenate([m[:, -1] == 0 for m, _ in rows]) if rows else np.zeros(0, bool)
         return pa.array(np.concatenate([e for _, e in rows]) if rows else np.zeros(0), mask=none)
 
@@ -120,6 +120,7 @@ def _key(*names: str) -> Column:
 
 def shrinkage(groups: DataFrame) -> float:
     """Documents that the level above counts as: from the spread of ``good / n`` between groups beyond chance."""
+    groups = groups.filter("n > 0")
     total = groups.agg(F.sum("good").alias("g"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
     if not total["n"] or total["k"] < 2:
         return MOST
@@ -130,9 +131,12 @@ def shrinkage(groups: DataFrame) -> float:
 
 
 def site_rates(scored: DataFrame) -> DataFrame:
-    """``host_key, path_key, evidence`` of all documents -> ``path_key, host_rate, path_rate, prior``, one row a path."""
-    chance = F.coalesce(1 / (1 + F.exp(-F.col("evidence"))), F.lit(0.0))
-    paths = staged(scored.groupBy("host_key", "path_key").agg(F.sum(chance).alias("good"), F.count("*").alias("n")))
+    """``host_key, path_key, evidence`` of all documents -> ``path_key, host_rate, path_rate, prior``, one row a path.
+
+    Documents without evidence say nothing about their site; a site of such alone has the rate of the level above.
+    """
+    chance = F.coalesce(F.sum(1 / (1 + F.exp(-F.col("evidence")))), F.lit(0.0))
+    paths = staged(scored.groupBy("host_key", "path_key").agg(chance.alias("good"), F.count("evidence").alias("n")))
     hosts = staged(paths.groupBy("host_key").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
     total = hosts.agg(F.sum("good").alias("g"), F.sum("n").alias("n")).first()
     prior = (total["g"] + 1) / (total["n"] + 2) if total["n"] else 0.5
@@ -149,19 +153,20 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     is rejected. Null hosts and paths are groups of their own; null ids and repeated rows are judged like others; without
     labels the evidence is a constant, and documents with words stay. Rates cover all rows; sums are made per task first.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     keys = {"host_key": _key(host_col), "path_key": _key(host_col, path_col)}
     text = F.col(f"`{text_col}`")
     scored = staged(docs.select(F.col(f"`{id_col}`").alias("doc_id"), *(v.alias(k) for k, v in keys.items()), evidence(text, model).alias("evidence")))
     sites = small_side(site_rates(scored))
-    if carry:
-        inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), keys["path_key"].alias("path_key"), evidence(text, model).alias("evidence"))
-    else:
-        inner = scored.drop("host_key")
+    inner = scored.drop("host_key")
+    if carry:  # under other names, so that none clashes
+        held = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+        inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in held.items()), keys["path_key"].alias("path_key"), evidence(text, model).alias("evidence"))
     logit = lambda p: F.log(p / (1 - p))
     odds = F.col("evidence") - logit(F.col("prior")) + logit(F.col("path_rate"))
     joined = inner.join(sites, "path_key", "left").withColumn("posterior", F.coalesce(1 / (1 + F.exp(-odds)), F.lit(0.0)))
     joined = joined.withColumn("kept", F.col("posterior") >= threshold)
     if carry:
-        return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "kept"), "kept")
+        return joined.select(*(F.col(n).alias(c) for c, n in held.items() if c != "kept"), "kept")
     return joined.select("doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")

@@ -41,7 +41,7 @@ def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``limit`` bytes of ``column`` each, at least one row; no row is split or left out."""
     for batch in batches:
         if not batch.num_rows:
@@ -52,6 +52,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         for a, b in zip(edges, edges[1:], strict=False):
             if a < b:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers are used again; they should not keep what a task needed
 
 
 SPACE = np.zeros(256, bool)
@@ -129,5 +130,13 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lowers the session's limit of rows in an Arrow batch, so that workers hold few whole texts at a time; never raises
+    it. Bytes of a batch have a limit of their own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

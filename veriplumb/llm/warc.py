@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, record, small_side, staged
+from .shared import blocks, record, small_batches, small_side, staged
 
 #: Payload bytes after which a writer starts another archive; a larger record is an archive of its own.
 ARCHIVE_BYTES = 8 << 20
@@ -141,6 +141,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def to_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archives of about 8 MB of payload: ``archive binary, records long``. Each page is one record; no pages, none."""
+    small_batches(pages.sparkSession)
     return with_revisits(pages, min_bytes).mapInArrow(_write, "archive binary, records long")
 
 
