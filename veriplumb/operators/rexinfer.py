@@ -103,8 +103,7 @@ def first_state(text: str, classes: Classes) -> tuple[str, list[dict]]:
     for k, s in parts:
         one = {"m": len(s), "M": len(s), "chars": "".join(sorted(set(s))), "values": [s]}
         if k == WORD:
-            one["fine"] = [[c, len(t), len(t)] for c, t in runs(s, classes.fine)]
-            one["exact"] = [[c, len(t), len(t)] for c, t in runs(s, lambda c: c)] if len(s) <= 4 * MAX_RUNS else None
+            one["fine"], one["exact"] = ([[c, len(t), len(t)] for c, t in r] if (r := runs(s, f))[0][0] != ANY else None for f in (classes.fine, lambda c: c))
         state.append(one)
     return "".join(k for k, _ in parts), state
 
