@@ -32,6 +32,8 @@ COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
 #: Members of a posting, or of a cluster, that are compared with one another at a time in the second pass.
 SIDE = 1024
+#: Rows of three numbers that are broadcast, at most (about 10 MB); beyond, texts are shuffled to them.
+NARROW = 400_000
 _FACTOR = scramble(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = scramble(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 
@@ -182,8 +184,8 @@ def _sides(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def _texts_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, text`` of classes, staged: the text of one document of each."""
-    one = classes.join(small_side(wanted), "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-    found = texts.join(small_side(one), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["text_hash"] == F.col("hash"))).select("node", "text")
+    one = classes.join(small_side(wanted, NARROW), "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    found = texts.join(small_side(one, NARROW), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["text_hash"] == F.col("hash"))).select("node", "text")
     return staged(found.groupBy("node").agg(F.first("text").alias("text")))
 
 
