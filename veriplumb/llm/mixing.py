@@ -58,7 +58,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.col(f"`{id_col}`").alias("id"),
         F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src)).alias("key"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias("draw"),
+        F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long").alias("draw"),
         *([F.struct(*(f"`{c}`" for c in carry)).alias("carried")] if carry else []),
     ).withColumn("run", F.pmod("draw", F.lit(RUNS)).cast("int"))
     if not carry:
