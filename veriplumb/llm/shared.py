@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,22 +21,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local session gets a temporary folder and a cluster the warehouse, which is shared.
+    Where it is unset, a local session gets a temporary folder, removed at exit, and a cluster the warehouse, which is
+    shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.startswith("local["):
-        root = "file://" + tempfile.mkdtemp(prefix="veriplumb-")
+        folder = tempfile.mkdtemp(prefix="veriplumb-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return root or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root or spark.conf.get('spark.sql.warehouse.dir')}/veriplumb/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and lost executors cost nothing."""
-    path = f"{work_root(df.sparkSession)}/veriplumb/{uuid.uuid4().hex}"
+    path = f"{work_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_staged(spark: SparkSession) -> None:
+    """Deletes all tables that this application has staged. Results that still read them must be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """A staged ``df``, marked for broadcast if it has at most ``rows`` rows; a larger one is left to a shuffled join."""
     table = staged(df)
