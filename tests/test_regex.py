@@ -107,3 +107,28 @@ def test_java_matches_as_python(spark):
 def test_brackets():
     for chars in ("]", "^", "-", "\\", "]^-\\ab", "a-", "^]", "[&"):
         assert all(re.fullmatch(bracket(list(chars)), c) for c in chars) and not re.fullmatch(bracket(list(chars)), "Q")
+
+
+def test_views_of_expressions():
+    from veriplumb.functions.rexview import as_html, as_text, fragments
+
+    assert fragments(r"^ab\-[A-Z]{2}(x)+$") == [("anchor", "^", ""), ("literal", r"ab\-", ""), ("class", "[A-Z]", "{2}"), ("group", "(x)", "+"), ("anchor", "$", "")]
+    assert "".join(t + q for _, t, q in fragments(r"^[]<-]*\d?[[:alpha:]]\p{Upper}.$")) == r"^[]<-]*\d?[[:alpha:]]\p{Upper}.$"
+    assert "&lt;" in as_html("^<$") and as_text("^a$").count("\n") == 2
+
+
+def test_check_function():
+    from veriplumb.operators.rexinfer import extract_checked
+
+    strings = [f"{'ab'[i % 2]}{i}" for i in range(50)] + ["x-y", "z-w"]
+
+    def check(found, most):
+        return {s: 1 for s in [s for s in strings if not any(re.match(p, s) for p in found)][:most]}
+
+    assert extract_checked(check, most=5) == ["^[a-z][0-9]{1,2}$", r"^[a-z]\-[a-z]$"]
+
+
+def test_package_exports():
+    import veriplumb
+
+    assert all(getattr(veriplumb, n) for n in veriplumb.__all__)

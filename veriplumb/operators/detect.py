@@ -137,6 +137,13 @@ def detect_df(
     return result
 
 
+def detect_table(spark, name: str, constraints, **options) -> Verification:
+    """Detection in a table of the catalogue."""
+    if not spark.catalog.tableExists(name):
+        raise ValueError(f"no table {name}")
+    return detect_df(spark.table(name), constraints, **options)
+
+
 def observed(df: DataFrame, constraints, name: str = "constraints") -> tuple[DataFrame, Observation]:
     """``df`` unchanged, and an observation that counts rows against each row-wise constraint while it is used elsewhere."""
     kinds = field_types(df)

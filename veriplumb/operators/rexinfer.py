@@ -253,6 +253,20 @@ def extract(examples, *, tag=False, extra_letters: str | None = None, remove_emp
     return out if as_object else out.rex
 
 
+def extract_checked(check: Callable[[list[str], int], Mapping[str, int]], most: int = SAMPLE, rounds: int = 20, **options) -> list[str]:
+    """Expressions for strings that only a function knows: ``check(expressions, most)`` returns up to ``most`` strings that
+    none of them matches, with frequencies. Non-matches are added until there are none, or for ``rounds`` rounds."""
+    known: dict[str, int] = {}
+    found: list[str] = []
+    for _ in range(rounds):
+        new = check(found, most)
+        if not new:
+            break
+        known |= new
+        found = extract(known, **options)
+    return found
+
+
 def _cleaned(df: DataFrame, names: Sequence[str], strip: bool) -> DataFrame:
     """``s, n``: distinct non-null strings of the columns with their frequencies."""
     parts = [df.select(col(n).cast("string").alias("s")) for n in names]

@@ -123,7 +123,7 @@ class ReferenceTest:
                 f.write(string)
             self.fail_with([*d.messages, *d.reconstruction()[:20], f"Compare with: diff {actual} {path}"])
 
-    def assertTextFileCorrect(self, actual_path: str, ref_path: str, kind: str | None = None, encoding: str = "utf-8", **options) -> None:
+    def assertTextFileCorrect(self, actual_path: str, ref_path: str, kind: str | None = None, encoding: str | None = None, **options) -> None:
         path = self.resolve(ref_path, kind)
         if self.should_regenerate(kind):
             self._copy(actual_path, path)

@@ -108,8 +108,14 @@ JDBC = {"postgres": ("org.postgresql.Driver", "jdbc:postgresql://{host}:{port}/{
 
 
 def connection(path: str | None = None, dbtype: str | None = None, **given) -> dict[str, str]:
-    """JDBC options from a JSON file (dbtype, db, host, port, user, password, schema) and keywords, which win."""
+    """JDBC options from a JSON file (dbtype, db, host, port, user, password, schema) and keywords, which win.
+
+    Without a path, ``~/.veriplumb_conn_<dbtype>`` is read if there is such a file.
+    """
     said: dict = {}
+    default = os.path.expanduser(f"~/.veriplumb_conn_{dbtype}")
+    if path is None and dbtype and os.path.exists(default):
+        path = default
     if path:
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
