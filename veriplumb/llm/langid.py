@@ -156,8 +156,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: i
     """
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    drawn = rows.select("lang", "draw").distinct().withColumn("rank", rank).filter(F.col("rank") <= docs_per_language).collect()
+    drawn = rows.select("lang", "draw").distinct().withColumn("part", F.pmod("draw", F.lit(64)))
+    for group in (["lang", "part"], ["lang"]):  # a language of most rows is cut down in parts first
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("draw"))
+        drawn = drawn.withColumn("rank", rank).filter(F.col("rank") <= docs_per_language)
+    drawn = drawn.collect()
     size = letters // docs_per_language
     middle = F.expr(f"substring(text, greatest(1, cast((char_length(text) - {size}) / 2 as int)), {size})")
     chosen = sorted({r["draw"] for r in drawn})
