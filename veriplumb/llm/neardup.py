@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     classes = staged(grouped.agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("sig").alias("sig"), F.count("*").alias("copies")))
     sigs = classes.select("node", "sig")
     posted = sigs.select("node", F.posexplode("sig").alias("coordinate", "value"))
-    often = posted.groupBy("coordinate", "value").agg(F.count("*").alias("df")).filter("df > 1")
+    # staged, so that the join has two plain sides and Spark can split a hot posting
+    often = staged(posted.groupBy("coordinate", "value").agg(F.count("*").alias("df")).filter("df > 1"))
     ranked = posted.join(often, ["coordinate", "value"]).groupBy("node").agg(F.array_sort(F.array_agg(F.struct("df", "coordinate", "value"))).alias("p"))
     # postings of one document alone come first in the order: they fill the prefix and give no pair
     short = F.greatest(F.lit(0), F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("p")))
