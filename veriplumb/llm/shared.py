@@ -33,10 +33,10 @@ def work_root(spark: SparkSession) -> str:
     return f"{root or spark.conf.get('spark.sql.warehouse.dir')}/veriplumb/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and lost executors cost nothing."""
     path = f"{work_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
