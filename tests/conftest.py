@@ -3,7 +3,11 @@ from __future__ import annotations
 import os
 import sys
 
-import pytest
+# threads of BLAS can stall beside a Spark driver
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
