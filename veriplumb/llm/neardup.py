@@ -175,10 +175,10 @@ def _settle(words: int, percent: int):
 
 
 def _sides(rows: DataFrame, group: list[str]) -> DataFrame:
-    """``rows`` with ``low, high``: groups of more than ``SIDE`` rows are cut, and each two cuts meet once."""
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
-    cut = rows.join(sizes, group).withColumn("side", F.pmod(F.xxhash64(F.lit(17), "node"), F.col("sides")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    """Staged ``rows`` with ``low, high``: groups of more than ``SIDE`` rows are cut, and each two cuts meet once."""
+    large = rows.groupBy(*group).agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides")).filter("sides > 1")
+    cut = rows.join(small_side(large), group, "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
+    cut = cut.withColumn("side", F.pmod(F.xxhash64(F.lit(17), "node"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     return cut.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("side", "other", "sides")
 
 
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     members = prefix.join(hubs.filter("members > 2").select("coordinate", "value"), ["coordinate", "value"]).join(small_side(joined), "node", "left")
     members = staged(members.select("coordinate", "value", "node", F.coalesce("root", "node").alias("comp")))
     open_ = members.groupBy("coordinate", "value").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("coordinate", "value")
-    rest = _sides(members.join(open_, ["coordinate", "value"]), ["coordinate", "value"]).join(sigs, "node")
+    rest = _sides(staged(members.join(small_side(open_), ["coordinate", "value"])), ["coordinate", "value"]).join(sigs, "node")
     rest = rest.select("coordinate", "value", "low", "high", "node", "comp", "sig")
     trees = components(rest.groupBy("coordinate", "value", "low", "high").applyInArrow(_compare(MATCHES), "u long, v long"))
     trees = trees.withColumnRenamed("root", "cluster")
