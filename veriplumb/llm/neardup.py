@@ -11,8 +11,8 @@ values are the most common. Confirmed links are contracted to components. A seco
 members of one posting that are in different components; of the pairs with enough collisions a spanning forest leaves the
 task. Its trees are clusters, whose full sets are then compared exactly, again only between components.
 
-Of pairs with a similarity of exactly 0.8, about one in five thousand has too few collisions, of pairs at 0.85 one in a
-million; that is the method's only loss, and a group loses no member whose other links hold.
+Of pairs with a similarity of exactly 0.8, about one in 2,800 has too few collisions, of pairs at 0.85 one in 400,000;
+that is the method's only loss, and a group loses no member whose other links hold.
 """
 
 from __future__ import annotations
