@@ -110,3 +110,12 @@ def test_reader_takes_gzip_streams_and_finds_damage():
     for bad in (a[:-9], wrong, short, gzip.compress(b"no header"), a[:20] + bytes([a[20] ^ 255]) + a[21:]):
         with pytest.raises(ValueError):
             list(warc.read_records(bad))
+
+
+def test_files(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    folder = tmp_path.as_uri() + "/warc"
+    files = warc.write_files(warc.to_archives(pages), folder).collect()
+    assert sum(f["records"] for f in files) == pages.count() and all(gzip.open(f["path"]).read(8) == b"WARC/1.1" for f in files)
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    assert sorted((tuple(r) for r in warc.read_files(spark, folder, payloads=False).collect()), key=repr) == expected(rows)

@@ -154,3 +154,40 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the archives to the shared folder and reads them back."""
     return read_archives(staged(to_archives(pages, min_bytes)), payloads=False)
+
+
+FILES = pa.schema([("path", pa.string()), ("records", pa.int64()), ("size", pa.int64())])
+
+
+def _file_writer(folder: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            rows = []
+            for data, n in zip(b.column("archive").to_pylist(), b.column("records").to_pylist(), strict=True):
+                path = f"{root}/{hashlib.sha1(data).hexdigest()}.warc.gz"  # a task that runs again writes the same file
+                with store.open_output_stream(f"{path}.part", compression=None) as f:
+                    f.write(data)
+                store.move(f"{path}.part", path)
+                rows.append((path, n, len(data)))
+            if rows:
+                yield record(FILES, *(list(c) for c in zip(*rows, strict=True)))
+
+    return write
+
+
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive as a ``.warc.gz`` file of a shared folder, given by URI; ``path, records, size`` of each file.
+
+    The folder must be one that all executors reach. The result is staged, so that files are written once.
+    """
+    return staged(archives.select("archive", "records").mapInArrow(_file_writer(folder), "path string, records long, size long"))
+
+
+def read_files(spark, folder: str, payloads: bool = True) -> DataFrame:
+    """Records of all ``.warc.gz`` files of a folder, as ``read_archives`` gives them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return read_archives(files.select(F.col("content").alias("archive")), payloads)
