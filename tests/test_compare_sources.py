@@ -198,10 +198,10 @@ def test_command_line(spark, tmp_path, capsys):
     from veriplumb import cli
 
     (tmp_path / "t.csv").write_text("i,s\n1,a1\n2,b2\n3,c3\n")
-    assert cli.main(["discover", str(tmp_path / "t.csv"), str(tmp_path / "t.tdda"), "-r"]) == 0
+    assert cli.main(["discover", str(tmp_path / "t.csv"), str(tmp_path / "t.constraints"), "-r"]) == 0
     (tmp_path / "u.csv").write_text("i,s\n1,a1\n9,bb\n")
     assert cli.main(["verify", str(tmp_path / "t.csv")]) == 0 and "Constraints failing: 0" in capsys.readouterr().out
-    assert cli.main(["detect", str(tmp_path / "u.csv"), str(tmp_path / "t.tdda"), str(tmp_path / "bad.csv"), "-7"]) == 0
+    assert cli.main(["detect", str(tmp_path / "u.csv"), str(tmp_path / "t.constraints"), str(tmp_path / "bad.csv"), "-7"]) == 0
     assert "Records failing: 1" in capsys.readouterr().out and spark.read.csv(str(tmp_path / "bad.csv"), header=True).count() == 1
     assert cli.main(["diff", str(tmp_path / "t.csv"), str(tmp_path / "u.csv"), "--key", "i"]) == 1
     (tmp_path / "lines").write_text("ab\ncd\n")

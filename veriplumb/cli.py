@@ -79,7 +79,7 @@ def extensions() -> list:
 
 
 def constraint_path(said: str | None, source: str) -> str:
-    return said or os.path.splitext(source)[0] + ".tdda"
+    return said or os.path.splitext(source)[0] + ".constraints"
 
 
 def rex_lines(lines: list[str], header=False, quote=False, **options) -> list[str]:

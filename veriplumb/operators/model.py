@@ -23,8 +23,8 @@ KINDS = {
 RELATIONS = ("lt", "lte", "eq", "gt", "gte")
 SIGNS = ("positive", "non-negative", "zero", "non-positive", "negative", "null")
 PRECISIONS = ("open", "closed", "fuzzy")
-#: Keys of the metadata in the order of output (fixed values).
-METADATA = ("as_at", "local_time", "utc_time", "creator", "rdbms", "source", "host", "user", "dataset", "n_records", "n_selected", "tddafile")
+#: Keys of the metadata in the order of output (fixed values); others that a file has are kept, after these.
+METADATA = ("as_at", "local_time", "utc_time", "creator", "rdbms", "source", "host", "user", "dataset", "n_records", "n_selected")
 
 
 class InvalidConstraint(ValueError):
@@ -137,7 +137,7 @@ class DatasetConstraints:
                 elif not kind.startswith("#"):
                     log.warning("constraint kind %s of field %s is unknown; it is ignored", kind, name)
             self.fields[name] = FieldConstraints(name, known)
-        self.metadata = {k: v for k, v in said.get("creation_metadata", {}).items() if k in METADATA}
+        self.metadata = dict(said.get("creation_metadata", {}))
         if self.postload:
             try:
                 self.postload(said)
@@ -179,7 +179,7 @@ class DatasetConstraints:
     def to_dict(self) -> dict:
         out: dict = {}
         if self.metadata:
-            out["creation_metadata"] = {k: self.metadata[k] for k in METADATA if k in self.metadata}
+            out["creation_metadata"] = {k: self.metadata[k] for k in [*METADATA, *self.metadata] if k in self.metadata}
         out["fields"] = {f.name: {c.kind: c.plain() for c in f} for f in self}
         if self.postdict:
             try:
