@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -82,6 +83,53 @@ def test_search_and_audit_of_a_tight_group():
     assert not (found & ~true).any() and found.sum() >= 0.99 * true.sum()
 
 
+def group_and_others(n, others, d=64):
+    """Unit vectors: one group of near copies, a looser one of which just some link, and others."""
+    rng = np.random.default_rng(4)
+    noise = np.full(n, 0.11)
+    noise[n - others - 600 :] = 0.142
+    x = rng.normal(size=(2, d))[(np.arange(n) >= n - others - 600).astype(int)]
+    x = x / np.linalg.norm(x, axis=1)[:, None] + noise[:, None] * rng.normal(size=(n, d)) / np.sqrt(d)
+    x[n - others :] = rng.normal(size=(others, d))
+    return (x / np.linalg.norm(x, axis=1)[:, None])[rng.permutation(n)]
+
+
+def links_and_components(x, least=0.98):
+    links = x @ x.T >= least
+    np.fill_diagonal(links, False)
+    comp = np.arange(len(x))
+    while True:
+        low = np.array([min(c, comp[r].min(initial=c)) for c, r in zip(comp, links, strict=True)])
+        if (low == comp).all():
+            return links.sum(axis=1).tolist(), comp.tolist()
+        comp = low
+
+
+def frame(spark, x):
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x)), "label": np.zeros(len(x), np.int64)}))
+
+
+def found_of(df):
+    rows = sorted(df.select("vec_id", "n_links", "component_id").collect())
+    return [r[1] for r in rows], [r[2] for r in rows]
+
+
+def test_every_pair_in_range_meets_at_home():
+    x = group_and_others(3000, 900, 12)
+    for least in (0.98, 0.8):
+        for c in (x[:40], x[::100], x[-25:], np.repeat(x[:3], 2, axis=0)):
+            home, goes = vecdup.cells(x, c, least)
+            u, v = np.nonzero(x @ x.T >= least)
+            shard = np.minimum(home[u], home[v])
+            assert goes[u, shard].all() and goes[v, shard].all()
+
+
+@pytest.mark.parametrize("n", [4500, 12_000])
+def test_one_group_of_near_copies_over_many_centres(spark, n):
+    x = group_and_others(n, 300)
+    assert found_of(vecdup.near_vectors(frame(spark, x))) == links_and_components(x)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r["doc_id"] for r in docs.collect()}

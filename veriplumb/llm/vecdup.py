@@ -1,15 +1,16 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors of a label are one node. A label's nodes are dealt to the shards of their nearest centres, two or more, so
-that shards overlap. Each shard builds a flat graph: nodes are inserted by a greedy search from the medoid, and their
-neighbours pruned robustly, so that some links stay long. The shards' adjacency lists are united per node. Then each node
-searches greedily from the medoid, and the search expands through all it finds in range. Every pair in range is verified
-in double precision, and each shard audits a sample of its nodes against brute force; a shard that missed a link is
-compared in blocks instead.
-
-A pair that shares several shards counts in the first. A shard over ``SHARD`` nodes is split into blocks, and each two
-blocks are one graph: no task holds more than two blocks, and no pair is lost. Pairs never leave a task, just the number
-of each node's links and a spanning forest.
+Equal vectors of a label are one node. A node's home is the shard of its nearest centre, and it visits every earlier shard
+that could be home to a vector in its range, so each pair in range meets in the earlier of its two homes and counts there.
+Centres that would make nodes visit more shards than they save are left out; a group of near copies has one.
+Each shard builds a flat graph: nodes are inserted by a greedy search from the medoid, and their neighbours pruned
+robustly, so that some links stay long. The shards' adjacency lists are united per node. Then each node searches greedily
+from the medoid, and the search expands through all it finds in range. Every pair in range is verified in double
+precision, and each shard audits a sample of its nodes against brute force; a shard that missed a link, or whose nodes
+have more links than a beam holds, is compared in blocks instead.
+
+A shard over ``SHARD`` nodes is split into blocks, and each two blocks are one graph: no task holds more than two blocks,
+and no pair is lost. Pairs never leave a task, just the number of each node's links and a spanning forest.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SHARD = 3000
 #: Nodes of a label from which on it has centres, nodes per centre, vectors that centres are fitted on (over all labels,
 #: chosen by hash), and centres of a label, at most.
 WHOLE, PER_CENTRE, FITTED, CENTRES = 1500, 750, 20_000, 4096
-#: Shards of a node: the nearest ones, and others as near but for this much in cosine.
-OVERLAP, MOST_SHARDS, SLACK = 2, 3, 0.04
+#: Vectors of a label that the number of its centres is chosen by.
+WEIGHED = 2000
 DEGREE, BEAM, ALPHA = 16, 32, 1.2
 AUDITED = 64
 
@@ -154,15 +155,30 @@ def in_range(x: np.ndarray, exact: np.ndarray, near: np.ndarray, medoid: int, le
 
 def _forest(links: np.ndarray) -> np.ndarray:
     """Least node of each node's component."""
-    u, v = np.nonzero(links)
-    root = np.arange(len(links))
-    while True:
-        low = root.copy()
-        np.minimum.at(low, u, root[v])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
+    root = np.full(len(links), -1)
+    for first in range(len(links)):
+        front = np.array([first] if root[first] < 0 else [], int)
+        while len(front):
+            root[front] = first
+            front = np.flatnonzero(links[front].any(axis=0) & (root < 0))
+    return root
+
+
+def _all_pairs(exact: np.ndarray, least: float) -> np.ndarray:
+    """Boolean nodes x nodes: all pairs in range, compared in blocks."""
+    links = np.empty((len(exact), len(exact)), bool)
+    for a in range(0, len(exact), 256):
+        links[a : a + 256] = np.einsum("ad,nd->an", exact[a : a + 256], exact) >= least
+    np.fill_diagonal(links, False)
+    return links
+
+
+def _audit(exact: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A seeded sample of nodes, and boolean sample x nodes: their true links."""
+    sample = np.random.default_rng(9).permutation(len(exact))[:AUDITED]
+    true = np.einsum("ad,nd->an", exact[sample], exact) >= least
+    true[np.arange(len(sample)), sample] = False
+    return sample, true
 
 
 def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +188,19 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 GRAPH = pa.schema([("node", pa.int64()), ("neighbours", pa.list_(pa.int64()))])
-LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("audited", pa.int64()), ("missed", pa.int64())])
+LINKS = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = pa.Table.from_batches(batches)
-    if t.num_rows:
-        node, exact = _columns(t)
-        near, _ = build(exact.astype(np.float32))
-        yield record(GRAPH, node, [node[r[r >= 0]].tolist() for r in near])
+def _build(least: float):
+    def build_graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        if t.num_rows:
+            node, exact = _columns(t := t.sort_by("node"))
+            crowded = _audit(exact, least)[1].sum() > BEAM * min(AUDITED, len(node))
+            near = np.zeros((len(node), 0), np.int64) if crowded else build(exact.astype(np.float32))[0]
+            yield record(GRAPH, node, [node[r[r >= 0]].tolist() for r in near])
+
+    return build_graph
 
 
 def _search(least: float):
@@ -188,42 +208,79 @@ def _search(least: float):
         t = pa.Table.from_batches(batches)
         if not t.num_rows:
             return
-        node, exact = _columns(t)
-        x = exact.astype(np.float32)
-        at = {k: i for i, k in enumerate(node.tolist())}
-        lists = [[at[k] for k in ks if k in at] for ks in t.column("neighbours").to_pylist()]
-        near = np.full((len(node), max(1, max(map(len, lists)))), -1, np.int64)
-        for i, ks in enumerate(lists):
-            near[i, : len(ks)] = ks
-        links = in_range(x, exact, near, int((x @ x.mean(axis=0)).argmax()), least)
-        sample = np.random.default_rng(9).permutation(len(node))[:AUDITED]
-        true = np.einsum("ad,nd->an", exact[sample], exact) >= least
-        true[np.arange(len(sample)), sample] = False
-        missed = int((true & ~links[sample]).sum())
-        if missed:  # audit failed: compare in blocks
-            for a in range(0, len(node), 256):
-                links[a : a + 256] = np.einsum("ad,nd->an", exact[a : a + 256], exact) >= least
-            np.fill_diagonal(links, False)
-        shards = np.array(t.column("shards").to_pylist(), np.int64)
-        shard, low, high = (t.column(c)[0].as_py() for c in ("shard", "low", "high"))
-        side, copies = t.column("side").to_numpy(), t.column("copies").to_numpy()
+        node, exact = _columns(t := t.sort_by("node"))
+        sample, true = _audit(exact, least)
+        if true.sum() > BEAM * len(sample):  # crowded: a search would look at most pairs anyway
+            links = _all_pairs(exact, least)
+        else:
+            x = exact.astype(np.float32)
+            at = {k: i for i, k in enumerate(node.tolist())}
+            lists = [[at[k] for k in ks if k in at] for ks in t.column("neighbours").to_pylist()]
+            near = np.full((len(node), max(1, max(map(len, lists)))), -1, np.int64)
+            for i, ks in enumerate(lists):
+                near[i, : len(ks)] = ks
+            links = in_range(x, exact, near, int((x @ x.mean(axis=0)).argmax()), least)
+            if (true & ~links[sample]).any():  # audit failed: compare in blocks
+                links = _all_pairs(exact, least)
         root = _forest(links)
-        u, v = np.nonzero(links)
-        own = (np.minimum(side[u], side[v]) == low) & (np.maximum(side[u], side[v]) == high)
-        first = np.full(len(u), np.iinfo(np.int64).max)
-        for i in range(shards.shape[1]):
-            for j in range(shards.shape[1]):
-                same = (shards[u, i] == shards[v, j]) & (shards[u, i] >= 0)
-                first[same] = np.minimum(first[same], shards[u, i][same])
-        own &= first == shard
-        count = np.bincount(u[own], weights=copies[v[own]], minlength=len(node)).astype(np.int64)
-        yield record(LINKS, node, count, node[root], [int(true.sum())] + [0] * (len(node) - 1), [missed] + [0] * (len(node) - 1))
+        label, shard, low, high = (t.column(c)[0].as_py() for c in ("label", "shard", "low", "high"))
+        home, side, copies = (t.column(c).to_numpy() for c in ("home", "side", "copies"))
+        count = np.zeros(len(node), np.int64)
+        for a in range(0, len(node), 256):
+            s = slice(a, a + 256)
+            own = links[s] & (np.minimum(home[s, None], home) == shard)
+            own &= (np.minimum(side[s, None], side) == low) & (np.maximum(side[s, None], side) == high)
+            count[s] = np.where(own, copies, 0).sum(axis=1)
+        yield record(LINKS, np.full(len(node), label), node, count, node[root])
 
     return search
 
 
-def centres_of(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Centres of each label with more than ``WHOLE`` nodes, by a few rounds of k-means on a sample chosen by hash."""
+def cells(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each unit vector, its nearest centre, and boolean vectors x centres: the shards it goes to.
+
+    Let u in range of v, an angle of at most arccos(least) away, and v nearest to the centre c. Then v lies on c's side of
+    the plane halfway to u's home h, and u at most that angle beyond it: u (h - c) <= sqrt(1 - least^2) |h - c|. So u
+    goes to each such c before h. If v's home is later than u's, v comes to u's.
+    """
+    reach = np.sqrt(max(0.0, 1 - least * least)) if least > 0 else 1.0
+    s = np.einsum("nd,cd->nc", x, c)
+    home = s.argmax(axis=1)
+    square = (c * c).sum(axis=1)
+    gap = np.sqrt(np.maximum(0, square[home][:, None] + square - 2 * np.einsum("nd,cd->nc", c[home], c)))
+    goes = s[np.arange(len(x)), home][:, None] - s <= reach * gap + 1e-6
+    return home, goes & (np.arange(len(c)) <= home[:, None])
+
+
+def thinned(x: np.ndarray, c: np.ndarray, n: int, least: float) -> np.ndarray:
+    """Those of a label's centres that leave its ``n`` nodes the fewest places in tasks, judged by the vectors ``x``.
+
+    Centres are taken farthest first, so that those of one group of near copies come last but for one. The shard with
+    the most homes becomes the first, whose nodes go nowhere else.
+    """
+    x = x[:: -(-len(x) // WEIGHED)]
+    order = [int(np.bincount(np.einsum("nd,cd->nc", x, c).argmax(axis=1)).argmax())]
+    near = np.full(len(c), -np.inf)
+    while len(order) < len(c):
+        near = np.maximum(near, np.einsum("cd,d->c", c, c[order[-1]]))
+        near[order[-1]] = np.inf
+        order.append(int(near.argmin()))
+    best, least_cost, k = c[order[:1]], np.inf, 1
+    while True:
+        some = c[order[:k]]
+        some = some[np.argsort(-np.bincount(np.einsum("nd,cd->nc", x, some).argmax(axis=1), minlength=k), kind="stable")]
+        size = cells(x, some, least)[1].sum(axis=0) * (n / len(x))
+        cost = (size * np.maximum(1, size / SHARD)).sum()
+        if cost < least_cost:
+            best, least_cost = some, cost
+        if k == len(c):
+            return best
+        k = min(len(c), max(k + 1, int(k * 1.3)))
+
+
+def centres_of(nodes: DataFrame, least: float) -> dict[int, np.ndarray]:
+    """Centres of each label with more than ``WHOLE`` nodes, by a few rounds of k-means on a sample chosen by hash,
+    if more than one is worth it."""
     big = {r["label"]: r["n"] for r in nodes.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE).collect()}
     if not big:
         return {}
@@ -242,33 +299,39 @@ def centres_of(nodes: DataFrame) -> dict[int, np.ndarray]:
             for k in range(len(c)):
                 if (home == k).any() and (s := x[home == k].mean(axis=0)).any():
                     c[k] = s / np.sqrt((s * s).sum())
-        out[label] = c
+        c = thinned(x, c, n, least)
+        if len(c) > 1:
+            out[label] = c
     return out
 
 
-def _deal(centres):
+def _deal(centres, least: float):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            labels = b.column("label").to_pylist()
-            out = np.full((b.num_rows, MOST_SHARDS), -1, np.int64)
-            out[:, 0] = 0
-            for label in set(labels):
-                c = centres.value.get(label)
-                if c is None or len(c) < 2:
-                    continue
-                rows = [i for i, k in enumerate(labels) if k == label]
-                x = np.array(b.column("vector").take(pa.array(rows)).to_pylist(), float)
-                x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                s = np.einsum("nd,cd->nc", x, c)
-                order = np.argsort(-s, axis=1, kind="stable")[:, :MOST_SHARDS]
-                near = np.take_along_axis(s, order, axis=1)
-                keep = (near >= near[:, :1] - SLACK) | (np.arange(order.shape[1]) < OVERLAP)
-                out[np.array(rows)[:, None], np.arange(order.shape[1])] = np.where(keep, order, -1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.tolist(), pa.list_(pa.int64()))], names=[*b.schema.names, "shards"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
+                labels = np.array(b.column("label").to_pylist())
+                homes, shards = np.zeros(b.num_rows, np.int64), [[0]] * b.num_rows
+                for label in set(labels.tolist()) & set(centres.value):
+                    rows = np.flatnonzero(labels == label)
+                    x = np.array(b.column("vector").take(pa.array(rows)).to_pylist(), float)
+                    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                    homes[rows], goes = cells(x, centres.value[label], least)
+                    for i, g in zip(rows.tolist(), goes, strict=True):
+                        shards[i] = np.flatnonzero(g).tolist()
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(homes), pa.array(shards, pa.list_(pa.int64()))], names=[*b.schema.names, "home", "shards"])
 
     return deal
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` of shards with ``side, low, high``: shards over ``SHARD`` nodes are cut, and each two cuts meet once."""
+    sizes = small_side(members.groupBy("label", "shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("sides")))
+    members = members.join(sizes, ["label", "shard"]).withColumn("side", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("sides")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return members.select("label", "shard", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "copies", "home", "vector")
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors``.
 
@@ -284,18 +347,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     sound = rows.filter(whole).select("vec_id", "row", F.struct(F.col("label0").cast("string"), F.size("vector").cast("string")).alias("kind"), F.transform("vector", lambda c: c / largest + 0.0).alias("vector"))
     keyed = staged(sound.withColumn("label", F.xxhash64("kind")))
     nodes = staged(keyed.groupBy("label", "vector").agg(F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count("*").alias("copies")))
-    centres = nodes.sparkSession.sparkContext.broadcast(centres_of(nodes))
-    dealt = staged(nodes.select("label", "vector", "node", "copies").mapInArrow(_deal(centres), "label long, vector array<double>, node long, copies long, shards array<long>"))
-    members = dealt.withColumn("shard", F.explode("shards")).filter("shard >= 0")
-    sizes = small_side(members.groupBy("label", "shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("sides")))
-    members = members.join(sizes, ["label", "shard"]).withColumn("side", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("sides")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    members = members.select("label", "shard", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "copies", "shards", "vector")
-    group = ["label", "shard", "low", "high"]
-    graphs = staged(members.groupBy(*group).applyInArrow(_build, "node long, neighbours array<long>"))
+    fitted = centres_of(nodes, least)
+    centres = nodes.sparkSession.sparkContext.broadcast(fitted)
+    dealt = staged(nodes.select("label", "vector", "node", "copies").mapInArrow(_deal(centres, least), "label long, vector array<double>, node long, copies long, home long, shards array<long>"))
+    members = _blocks(dealt.withColumn("shard", F.explode("shards")))
+    group, schema = ["label", "shard", "low", "high"], "label long, node long, links long, root long"
+    graphs = staged(members.groupBy(*group).applyInArrow(_build(least), "node long, neighbours array<long>"))
     united = graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    found = members.join(united, "node").groupBy(*group).applyInArrow(_search(least), "node long, links long, root long, audited long, missed long")
-    found = staged(found)
+    found = staged(members.join(united, "node").groupBy(*group).applyInArrow(_search(least), schema))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     comps = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
