@@ -130,6 +130,19 @@ def test_one_group_of_near_copies_over_many_centres(spark, n):
     assert found_of(vecdup.near_vectors(frame(spark, x))) == links_and_components(x)
 
 
+def test_audit_of_labels_finds_links_lost_between_shards(spark, monkeypatch):
+    cells = vecdup.cells
+
+    def home_only(x, c, least):
+        home, goes = cells(x, c, least)
+        return home, goes & (np.arange(len(c)) == home[:, None])
+
+    monkeypatch.setattr(vecdup, "cells", home_only)
+    monkeypatch.setattr(vecdup, "thinned", lambda x, c, n, least: c)
+    x = group_and_others(4500, 300)
+    assert found_of(vecdup.near_vectors(frame(spark, x))) == links_and_components(x)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r["doc_id"] for r in docs.collect()}

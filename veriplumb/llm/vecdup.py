@@ -7,7 +7,8 @@ Each shard builds a flat graph: nodes are inserted by a greedy search from the m
 robustly, so that some links stay long. The shards' adjacency lists are united per node. Then each node searches greedily
 from the medoid, and the search expands through all it finds in range. Every pair in range is verified in double
 precision, and each shard audits a sample of its nodes against brute force; a shard that missed a link, or whose nodes
-have more links than a beam holds, is compared in blocks instead.
+have more links than a beam holds, is compared in blocks instead. Labels of several shards audit a sample against all
+their nodes; a label that missed a link is compared in blocks as a whole.
 
 A shard over ``SHARD`` nodes is split into blocks, and each two blocks are one graph: no task holds more than two blocks,
 and no pair is lost. Pairs never leave a task, just the number of each node's links and a spanning forest.
@@ -32,7 +33,8 @@ WHOLE, PER_CENTRE, FITTED, CENTRES = 1500, 750, 20_000, 4096
 #: Vectors of a label that the number of its centres is chosen by.
 WEIGHED = 2000
 DEGREE, BEAM, ALPHA = 16, 32, 1.2
-AUDITED = 64
+#: Nodes that a shard audits, and a label of several shards (about as many, by hash) against parts of so many nodes.
+AUDITED, PART = 64, 8192
 
 
 def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +191,7 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 GRAPH = pa.schema([("node", pa.int64()), ("neighbours", pa.list_(pa.int64()))])
 LINKS = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+TRUE = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("true", pa.int64())])
 
 
 def _build(least: float):
@@ -203,14 +206,16 @@ def _build(least: float):
     return build_graph
 
 
-def _search(least: float):
+def _search(least: float, whole: bool = False):
+    """Links of a shard's two blocks; ``whole`` compares them without a graph."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         if not t.num_rows:
             return
         node, exact = _columns(t := t.sort_by("node"))
         sample, true = _audit(exact, least)
-        if true.sum() > BEAM * len(sample):  # crowded: a search would look at most pairs anyway
+        if whole or true.sum() > BEAM * len(sample):  # crowded: a search would look at most pairs anyway
             links = _all_pairs(exact, least)
         else:
             x = exact.astype(np.float32)
@@ -236,6 +241,25 @@ def _search(least: float):
     return search
 
 
+def _truth(least: float):
+    """Links of the nodes asked for with the other nodes of one part of their label."""
+
+    def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        if t.num_rows:
+            node, exact = _columns(t)
+            asked, copies = t.column("asked").to_numpy(), t.column("copies").to_numpy()
+            a, n = np.flatnonzero(asked), np.flatnonzero(~asked)
+            true = np.zeros(len(a), np.int64)
+            for b in range(0, len(n), 1024):
+                s = n[b : b + 1024]
+                found = (np.einsum("ad,nd->an", exact[a], exact[s]) >= least) & (node[a][:, None] != node[s])
+                true += np.where(found, copies[s], 0).sum(axis=1)
+            yield record(TRUE, np.full(len(a), t.column("label")[0].as_py()), node[a], true)
+
+    return truth
+
+
 def cells(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Home of each unit vector, its nearest centre, and boolean vectors x centres: the shards it goes to.
 
@@ -332,6 +356,20 @@ def _blocks(members: DataFrame) -> DataFrame:
     return members.select("label", "shard", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "copies", "home", "vector")
 
 
+def short_of_links(nodes: DataFrame, links: DataFrame, labels: list[int], least: float) -> list[int]:
+    """Those of ``labels`` with a node, of a sample by hash, that has more links among all the label's than in ``links``."""
+    if not labels:
+        return []
+    own = nodes.filter(F.col("label").isin(labels)).select("label", "node", "copies", "vector")
+    sizes = small_side(own.groupBy("label").agg(F.count("*").alias("n")))
+    own = own.join(sizes, "label").withColumn("parts", F.ceil(F.col("n") / PART))
+    every = own.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts"))).withColumn("asked", F.lit(False))
+    some = own.filter(F.pmod(F.xxhash64(F.lit(6), "node"), F.col("n")) < AUDITED).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asked", F.lit(True))
+    true = every.unionByName(some).select("label", "part", "node", "copies", "vector", "asked").groupBy("label", "part").applyInArrow(_truth(least), "label long, node long, true long")
+    true = true.groupBy("label", "node").agg(F.sum("true").alias("true"))
+    return [r["label"] for r in true.join(links, "node", "left").filter(F.col("true") > F.coalesce("links", F.lit(0))).select("label").distinct().collect()]
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors``.
 
@@ -355,6 +393,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     graphs = staged(members.groupBy(*group).applyInArrow(_build(least), "node long, neighbours array<long>"))
     united = graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     found = staged(members.join(united, "node").groupBy(*group).applyInArrow(_search(least), schema))
+    short = short_of_links(nodes, found.groupBy("node").agg(F.sum("links").alias("links")), list(fitted), least)
+    if short:
+        again = _blocks(nodes.filter(F.col("label").isin(short)).withColumn("shard", F.lit(0).cast("long")).withColumn("home", F.lit(0).cast("long")))
+        again = again.groupBy(*group).applyInArrow(_search(least, whole=True), schema)
+        found = staged(found.filter(~F.col("label").isin(short)).unionByName(again))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     comps = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
