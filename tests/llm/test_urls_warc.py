@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 
 import pytest
 
@@ -63,6 +64,25 @@ def test_mined_rules_block_and_are_pruned(spark):
     assert not any(a < b and ca >= cb for a, ca, _ in rules for b, cb, _ in rules)
 
 
+def test_mined_rules_of_any_length(spark):
+    words = ["ant", "bee", "cat", "dog", "elk"]
+    rows = [(w := [x for i, x in enumerate(words) if k >> i & 1], len(w) >= 4) for k in range(1, 32)] * 3
+    support, sure = 0.01, 0.9
+    want = {}
+    for k in range(1, 6):
+        for own in itertools.combinations(words, k):
+            having = [bad for tokens, bad in rows if set(own) <= set(tokens)]
+            confidence = sum(having) / len(having)
+            if sum(having) >= support * len(rows) and confidence >= sure and not any(set(o) < set(own) and c >= confidence for o, c in want.items()):
+                want[own] = confidence
+    assert {len(w) for w in want} == {4}
+    mined = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), support, sure).collect()
+    assert {tuple(r["tokens"]): r["confidence"] for r in mined} == want
+    pages = spark.createDataFrame([(i, "http:///" + "/".join(t)) for i, (t, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(rows)], "page_id long, bad boolean")
+    assert all((r["verdict"] == "block") == rows[r["page_id"]][1] for r in urlfilter.judge(pages, [], labels, support, sure).collect())
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urlfilter.judge(none, URL_RULES).count() == 0 and warc.round_trip(none).count() == 0

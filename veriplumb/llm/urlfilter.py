@@ -48,8 +48,8 @@ def explicit(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return fits
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3) -> DataFrame:
-    """Rules ``tokens array<string>, confidence, support`` from ``tokens array<string>, bad boolean``.
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
+    """Rules ``tokens array<string>, confidence, support``, of any length, from ``tokens array<string>, bad boolean``.
 
     Single tokens below the support are dropped before mining: they can't be in a rule. No labelled rows, or none that
     are bad, give no rules. The number of rules is bounded by the support, not by the rows.
@@ -66,7 +66,7 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     items = F.array_intersect("tokens", F.array(*(F.lit(t) for t in terms)))
     baskets = labelled.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items")).filter(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= max_tokens))
+    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     rules = staged(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
     less = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("as_sure"), F.col("tokens")[0].alias("t"))
     covered = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(less, "t")
