@@ -102,3 +102,11 @@ def test_signature_estimates_similarity():
     b = np.unique(np.concatenate([a[:3600], rng.integers(0, 2**63, 400).astype(np.uint64)]))
     same = (neardup.signature(a) == neardup.signature(b)).mean()
     assert abs(same - 3600 / 4400) < 0.2
+
+
+def test_distinct_goes_by_rows_not_ids(spark):
+    fox, owl = "the quick brown fox jumps over the lazy dog", "an old owl sat all night in the tall oak"
+    rows = [(1, fox), (2, fox), (2, "nothing else is like this one text"), (3, None), (3, owl), (None, owl), (None, "sing a song of six little grey mice"), (None, "sing a song of six little grey mice and men")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in neardup.distinct(docs, words=1, percent=70).collect()]
+    assert len(kept) == 5 and set(kept[:]) - set(rows[6:]) == {rows[0], rows[2], rows[3], rows[4]} and len(set(kept) & set(rows[6:])) == 1

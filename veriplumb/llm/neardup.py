@@ -207,14 +207,8 @@ def _candidates(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
     return staged(pairs.join(a, "u").join(b, "v").filter(equal >= matches).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
-
-    Documents are linked if 100 * common shingles >= ``percent`` * all shingles of both. The component's id is its least
-    doc_id; the document that has it is kept. Null text, and text without words, has no shingles, no links and is kept.
-    Null ids link others, but are never a component's id unless it has no other; then their component is null and all
-    are kept. Rows that repeat are judged alike; no rows give no rows; other columns are ignored.
-    """
+def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_hash, n_shingles, node`` of each row, and ``node, root, component_id`` of nodes with copies or links."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = staged(texts.mapInArrow(_sets(words), "doc_id long, text_hash long, n_shingles long, node long, sig array<int>"))
@@ -252,13 +246,32 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     known = classes.join(joined, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")).filter("linked or copies > 1")
     known = staged(known)
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = small_side(known.select("node", "root").join(ids, "root").select("node", "component_id"))
-    out = sets.select("doc_id", "n_shingles", "node").join(final.withColumn("grouped", F.lit(True)), "node", "left")
+    return sets, small_side(known.select("node", "root").join(ids, "root").select("node", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+
+    Documents are linked if 100 * common shingles >= ``percent`` * all shingles of both. The component's id is its least
+    doc_id; the document that has it is kept. Null text, and text without words, has no shingles, no links and is kept.
+    Null ids link others, but are never a component's id unless it has no other; then their component is null and all
+    are kept. Rows that repeat are judged alike; no rows give no rows; other columns are ignored.
+    """
+    sets, final = _grouped(docs, words, percent, id_col, text_col)
+    out = sets.select("doc_id", "n_shingles", "node").join(final.select("node", "component_id").withColumn("grouped", F.lit(True)), "node", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def distinct(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are kept: of each component the least id. Only ids that go are joined to the texts."""
-    gone = near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(small_side(gone, 200_000), id_col, "left_anti")
+    """Rows of ``docs`` that are kept: of each component the least id, null last, and of texts that share it one.
+
+    A row is known by id and text: rows that repeat both stay or go together, and a text whose id another text has too
+    stays if its own component has none before it. Only ids and hashes of texts that go are joined to the texts.
+    """
+    sets, final = _grouped(docs, words, percent, id_col, text_col)
+    rows = staged(sets.join(final.select("node", "root"), "node").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("own")).distinct())
+    first = rows.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = rows.join(first, "root").filter("own <> first").select(F.col("own.doc_id").alias("__id"), F.col("own.text_hash").alias("__hash"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__hash"))
+    return docs.join(small_side(gone, 200_000), same, "left_anti")
