@@ -152,6 +152,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     ``labels``: id, good (0/1, null says nothing). A text without a word, or null, has no evidence: posterior 0, and it
     is rejected. Null hosts and paths are groups of their own; null ids and repeated rows are judged like others; without
     labels the evidence is a constant, and documents with words stay. Rates cover all rows; sums are made per task first.
+    Documents carry no URL: unless other columns are named, ``source`` stands for the host, and ``lang`` within it for the path.
     """
     small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
