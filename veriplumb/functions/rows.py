@@ -1,22 +1,47 @@
-"""Row numbers without a shuffle of rows."""
+"""Row numbers without a sort or a window over all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+from .types import col
+
+
+def settled(df: DataFrame) -> bool:
+    """Whether each run of ``df`` sees the same partitions: true of plans without an exchange, as of files and tables.
+
+    Adaptive execution cuts the output of an exchange as the columns in use suggest, so that two jobs may differ.
+    """
+    try:
+        return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    except AttributeError:  # a remote session doesn't show its plan
+        return False
+
 
 def with_row_numbers(df: DataFrame, name: str, first: int = 1) -> DataFrame:
     """``df`` with consecutive numbers in the order of its partitions and their rows.
 
-    One pass counts rows per partition (a row each on the driver), a second numbers them. Both must see the same
-    partitions: true of files and tables, not of the output of an unordered shuffle.
+    Each row gets its partition and its place there; a table of one row a partition says where partitions start. Where
+    two jobs might see different partitions the placed rows are staged first, so that both read the same ones.
     """
-    counts = {r["p"]: r["n"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, first
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    starts = F.array(*(F.lit(before.get(p, 0)).cast("long") for p in range(max(counts, default=0) + 1)))
-    at = F.monotonically_increasing_id()
-    return df.withColumn(name, F.element_at(starts, F.shiftright(at, 33).cast("int") + 1) + at.bitwiseAND(F.lit((1 << 33) - 1)))
+    part, at, start = (f"__{k}{len(df.columns)}_{name}" for k in ("part", "at", "start"))
+    placed = df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    if not settled(df):
+        placed = staged(placed)
+    counts = placed.groupBy(col(part)).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(col(part)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(col(part), before.alias(start))
+    joined = placed.join(F.broadcast(starts), part)
+    return joined.select(*(col(c) for c in df.columns if c != name), (col(start) + col(at) + F.lit(first)).cast("long").alias(name))
+
+
+def counts_of(watch: Observation, df: DataFrame, totals: Sequence[Column]) -> dict:
+    """What ``watch`` has seen, or the aggregates themselves where the optimizer has cut the observed rows away."""
+    try:
+        return watch.get
+    except Exception:  # noqa: BLE001 - an assertion of the JVM, whose type depends on the bridge
+        return df.agg(*totals).first().asDict()
