@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.regexes import matches_any
-from ..functions.rows import with_row_numbers
+from ..functions.rows import counts_of, with_row_numbers
 from ..functions.types import coarse, col, field_types, normalised
+from ..sources.writers import check_writable, save
 from .model import KINDS, Constraint
 from .verify import Verification, _listed, as_constraints, fuzzy_bound, kind_of_value, repaired, verify_df
 
 
 @dataclass
 class Detection:
+    """Rows with their flags. Rows that pass and fail are counted when they are asked for, unless writing has counted them."""
+
     df: DataFrame
-    n_passing: int
-    n_failing: int
+    counts: Callable[[], tuple[int, int]]
+
+    @cached_property
+    def _totals(self) -> tuple[int, int]:
+        return self.counts()
+
+    @property
+    def n_passing(self) -> int:
+        return self._totals[0] - self._totals[1]
+
+    @property
+    def n_failing(self) -> int:
+        return self._totals[1]
 
 
 def free_name(name: str, taken: Sequence[str]) -> str:
@@ -68,8 +82,9 @@ def row_flag(name: str, kind: str, c: Constraint, epsilon: float) -> Column | No
 def _with_duplicate_flag(df: DataFrame, name: str, flag: str) -> DataFrame:
     """All rows of a repeated value are False, null rows True. Values are counted first, then joined: no window over a
     hot value, and Spark can split its join."""
-    again = df.filter(col(name).isNotNull()).groupBy(col(name).alias("__value")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__value", F.lit(False).alias(flag))
-    joined = df.join(again, df[f"`{name}`"] == again["__value"], "left").drop("__value")
+    value, n = free_name("__value", df.columns), free_name("__n", df.columns)
+    again = df.filter(col(name).isNotNull()).groupBy(col(name).alias(value)).agg(F.count("*").alias(n)).filter(col(n) > 1).select(col(value), F.lit(False).alias(flag))
+    joined = df.join(again, col(name) == col(value), "left").drop(value)
     return joined.withColumn(flag, F.coalesce(col(flag), F.lit(True)))
 
 
@@ -83,8 +98,11 @@ def detect_df(
     The detection's DataFrame has an id of each row (``key`` columns, else a row number), the chosen ``output_fields``
     (None: none, an empty list: all), a flag per failing constraint if ``per_constraint``, and ``n_failures``. Only
     failing rows are kept unless ``write_all``. ``in_place`` gives all columns of ``df`` and the flags. ``outpath``
-    (parquet, csv, ...) writes it. Constraints on missing columns have no flags; the counts are over all rows.
+    (parquet, csv, ...) writes it, and is tested before any work. Constraints on missing columns have no flags; the
+    counts are over all rows.
     """
+    if outpath:
+        check_writable(df.sparkSession, outpath)
     constraints = as_constraints(constraints)
     if repair:
         df = repaired(df, constraints)
@@ -117,7 +135,10 @@ def detect_df(
     count = free_name("n_failures", df.columns)
     bad = reduce(lambda a, b: a + b, (F.when(~col(n), 1).otherwise(0) for n in every), F.lit(0))
     rows = rows.withColumn(count, bad.cast("long"))
-    totals = rows.agg(F.count("*").alias("n"), F.count_if(col(count) > 0).alias("bad")).first()
+    totals = (F.count(F.lit(1)).alias("n"), F.count_if(col(count) > 0).alias("bad"))
+    whole, watch = rows, Observation()
+    if outpath:
+        rows = rows.observe(watch, *totals)
     shown = every if per_constraint or in_place else []
     if boolean_ints and shown:
         rows = rows.withColumns({n: col(n).cast("int") for n in shown})
@@ -129,11 +150,11 @@ def detect_df(
     out = rows.select(*(col(n) for n in [*lead, *body, count]))
     if not write_all and not in_place:
         out = out.filter(col(count) > 0)
-    result.detection = Detection(out, totals["n"] - totals["bad"], totals["bad"])
-    if outpath:
-        from ..sources.writers import save
-
+    if outpath:  # counted while it is written
         save(out, outpath, boolean_ints=boolean_ints)
+        result.detection = Detection(out, lambda: tuple(counts_of(watch, whole, totals).values()))
+    else:
+        result.detection = Detection(out, lambda: tuple(whole.agg(*totals).first()))
     return result
 
 

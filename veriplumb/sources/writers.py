@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import glob
 import os
+import re
 import shutil
+import sys
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import col
@@ -23,19 +26,45 @@ def text_booleans(df: DataFrame, as_ints: bool = False) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
+def kind_of(path: str) -> str:
+    kind = "csv" if path == "-" else os.path.splitext(path)[1].lstrip(".").lower()
+    if kind != "parquet" and kind not in SEPARATORS:
+        raise ValueError(f"can't write {path}: unknown extension")
+    return kind
+
+
+def check_writable(spark: SparkSession, path: str) -> None:
+    """Raises an error if a table can't be written to a path: before the work, not after it. What is there stays."""
+    kind_of(path)
+    if path == "-":
+        return
+    if re.match(r"(?!file:)[A-Za-z][\w+.-]+:", path):  # the file system asks its own permissions
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        store, up = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place.getParent()
+        while up is not None and not store.exists(up):
+            up = up.getParent()
+        if up is not None:
+            store.access(up, jvm.org.apache.hadoop.fs.permission.FsAction.WRITE)
+        return
+    up = os.path.dirname(os.path.abspath(path.removeprefix("file://")))
+    while not os.path.exists(up):
+        up = os.path.dirname(up)
+    if not os.path.isdir(up) or not os.access(up, os.W_OK):
+        raise PermissionError(f"can't write {path}: no folder to write in")
+
+
 def save(df: DataFrame, path: str, single_file: bool = False, boolean_ints: bool = False) -> None:
     """Writes ``df`` as its path's extension says: parquet, csv, psv, tsv or txt; ``-`` prints it as CSV.
 
     Spark writes a folder of part files. ``single_file`` makes it one file instead, by one task, for local paths.
     """
-    kind = "csv" if path == "-" else os.path.splitext(path)[1].lstrip(".").lower()
-    if kind != "parquet" and kind not in SEPARATORS:
-        raise ValueError(f"can't write {path}: unknown extension")
+    kind = kind_of(path)
     if path == "-":
         rows = text_booleans(df, boolean_ints)
-        print(",".join(rows.columns))
-        for r in rows.toLocalIterator():
-            print(",".join("" if v is None else f'"{v}"' if isinstance(v, str) and set(v) & {",", '"', "\n"} else str(v) for v in r))
+        out = csv.writer(sys.stdout, lineterminator="\n")
+        out.writerow(rows.columns)
+        out.writerows(rows.toLocalIterator())
         return
     target = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(path))) + "/out" if single_file else path
     if kind == "parquet":
