@@ -59,10 +59,22 @@ def to_java(pattern: str) -> str:
     return rf"(?Usd)\A(?:{''.join(out)})"
 
 
+def unnamed(pattern: str) -> str:
+    """``pattern`` with named groups as numbered ones, which match the same; left as it is where a number would be wrong."""
+    places = re.compile(pattern).groupindex
+    if not places:
+        return pattern
+    out = re.sub(r"(\\.)|\(\?P=(\w+)\)", lambda m: m[1] or f"(?:\\{places[m[2]]})", re.sub(r"(\\.)|\(\?P<\w+>", lambda m: m[1] or "(", pattern, flags=re.DOTALL), flags=re.DOTALL)
+    try:  # in a bracket the same characters aren't a group
+        return out if re.compile(out).groups == re.compile(pattern).groups and not re.search(r"\[[^\]]*\(\?P", pattern) else pattern
+    except re.error:
+        return pattern
+
+
 def matches(c: Column, pattern: str) -> Column:
     """Whether a text column matches from its start, as ``re.match``; by Python itself where Java can't."""
     try:
-        return c.rlike(to_java(pattern))
+        return c.rlike(to_java(unnamed(pattern)))
     except ValueError:
         return _by_python(pattern)(c)
 

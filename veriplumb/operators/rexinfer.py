@@ -10,20 +10,27 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import bracket, escape, matches
+from ..functions.rows import settled
+from ..functions.staging import staged
 from ..functions.types import col
 
 WORD, BLANK, PUNCTUATION, OTHER, ANY = "Ḉ", " ", ".", "*", "?"
 #: Limits (fixed values): runs in a shape, width of a range that stays a range, characters in a bracket, values kept.
 MAX_RUNS, MAX_RANGE, MAX_BRACKET, MAX_VALUES = 99, 2, 5, 10
-#: Distinct strings that are used whole when sampling is on, and shapes that the driver takes at most.
+#: Distinct strings that are used whole when sampling is on, and shapes that have an expression of their own at most.
 SAMPLE, MAX_SHAPES = 4000, 5000
+#: Parts of a popular shape whose states are merged on their own first.
+SALTS = 64
+#: States of tasks that the driver merges at most.
+FEW_STATES = 10_000
 EXTRAS = "_.-"
 
 
@@ -151,10 +158,64 @@ def fragments(shape: str, state: list[dict], classes: Classes) -> list[Fragment]
         elif k == PUNCTUATION and len(s["chars"]) <= MAX_BRACKET:
             out.append(Fragment(bracket(s["chars"]), m, most, True))
         else:
-            out.append(Fragment(classes.of[k], m, most, False, k))
+            out.append(Fragment(classes.of[k], m if s["m"] else 0, most, False, k))
     return out
 
 
+@dataclass
+class Column:
+    """One column of an alignment: a piece of each pattern, and whether all are the same fixed fragment."""
+
+    pieces: list[list[Fragment]]
+    fixed: bool = False
+
+
+def _cut(column: Column) -> list[Column]:
+    """A column, parted at a fixed fragment that all its pieces have at one place from the left, else from the right."""
+    pieces = column.pieces
+    if column.fixed or max(map(len, pieces), default=0) < 2:
+        return [column]
+    shortest = min(map(len, pieces))
+    for places in (range(shortest), range(-1, -shortest - 1, -1)):
+        same = [i for i in places if pieces[0][i].fixed and all(p[i] == pieces[0][i] for p in pieces)]
+        if same:
+            i = same[0]
+            sides = [Column([p[:i] for p in pieces]), Column([[p[i]] for p in pieces], True), Column([p[i:][1:] for p in pieces])]
+            return [c for s in sides if any(s.pieces) for c in _cut(s)]
+    return [column]
+
+
+def align(patterns: Sequence[Sequence[Fragment]]) -> list[Column]:
+    """Patterns, shortest first, in columns at the fixed fragments that they share at one place from either end.
+
+    Pieces of a pattern over all columns are the pattern again: alignment shows what patterns have in common, and gives
+    them their order.
+    """
+    ordered = sorted((list(p) for p in patterns), key=len)
+    return _cut(Column(ordered)) if ordered else []
+
+
+def joined(columns: Sequence[Column]) -> list[list[Fragment]]:
+    """The patterns of an alignment."""
+    return [sum(parts, []) for parts in zip(*(c.pieces for c in columns), strict=True)] if columns else []
+
+
+def aligned_view(columns: Sequence[Column]) -> str:
+    """An alignment as text: a head with the numbers of the fragments of each column, and a line for each pattern."""
+    widths = [[max((len(p[i].text) for p in c.pieces if i < len(p)), default=0) for i in range(max(map(len, c.pieces), default=0))] for c in columns]
+    n, head = 0, []
+    for w in widths:
+        marks = []
+        for k in w:
+            n += 1
+            marks.append((chr(48 + n) if n < 10 else chr(55 + min(n, 36))).ljust(k))
+        head.append(" ".join(marks))
+    lines = ["|" + "|".join(head) + "|"]
+    for row in zip(*(c.pieces for c in columns), strict=True):
+        lines.append(" " + " ".join(" ".join((p[i].text if i < len(p) else "").ljust(k) for i, k in enumerate(w)) for p, w in zip(row, widths, strict=True)))
+    return "\n".join(line.rstrip() for line in lines)
+
+
 def render(parts: Sequence[Fragment], tag: bool = False, stripped: bool = False) -> str:
     out = []
     for f in parts:
@@ -205,8 +266,9 @@ def expressions(states: Mapping[str, list[dict]], extra: str, dialect: str, tag:
     def place(shape: str):
         return [(k, *((s["m"], s["M"]) if s["M"] - s["m"] <= MAX_RANGE else (1, -1))) for k, s in zip(shape, states[shape], strict=True)]
 
-    made = [(fragments(k, states[k], inner), fragments(k, states[k], outer)) for k in sorted(states, key=place)]
-    made.sort(key=lambda p: len(p[0]))
+    shapes = sorted(states, key=place)
+    inside, outside = ([fragments(k, states[k], c) for k in shapes] for c in (inner, outer))
+    made = list(zip(joined(align(inside)), joined(align(outside)), strict=True))
     return list(dict.fromkeys((render(a, False, stripped), render(b, tag, stripped)) for a, b in made))
 
 
@@ -267,21 +329,64 @@ def extract_checked(check: Callable[[list[str], int], Mapping[str, int]], most:
     return found
 
 
-def _cleaned(df: DataFrame, names: Sequence[str], strip: bool) -> DataFrame:
-    """``s, n``: distinct non-null strings of the columns with their frequencies."""
+def whole_state(shapes: DataFrame, beyond: int) -> dict:
+    """The state of any character for the strings of all shapes but the ``beyond`` with the most rows: lengths alone count."""
+    length = lambda k: F.expr(f"aggregate(from_json(state, 'array<map<string,string>>'), 0L, (s, x) -> s + cast(x['{k}'] as long))")
+    lengths = shapes.select("shape", "n", length("m").alias("least"), length("M").alias("most"))
+    first = lengths.orderBy(F.desc("n"), "shape").limit(beyond)
+    row = lengths.join(first.select("shape"), "shape", "left_anti").agg(F.min("least").alias("m"), F.max("most").alias("M")).first()
+    return {"m": row["m"], "M": row["M"], "chars": "?!", "values": ["?", "!"]}
+
+
+def _cleaned(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``s, n``: distinct strings of the columns, and null, with their frequencies."""
     parts = [df.select(col(n).cast("string").alias("s")) for n in names]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionAll(p)
-    if strip:
-        rows = rows.select(F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("s"))
-    return rows.filter("s is not null").groupBy("s").agg(F.count("*").alias("n"))
+    return rows.groupBy("s").agg(F.count("*").alias("n"))
 
 
-def _summed(extra: str, variable: bool):
-    def sum_up(batches):
-        import pyarrow as pa
+def _merged(variable: bool):
+    """For one shape, or one part of it: its states in one, and their rows."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, one, n = None, None, 0
+        for b in batches:
+            for shape, text, k in zip(b.column("shape").to_pylist(), b.column("state").to_pylist(), b.column("n").to_pylist(), strict=True):
+                state, n = json.loads(text), n + k
+                one = state if one is None else merge(one, state, variable)
+        if shape is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([shape]), pa.array([json.dumps(one)]), pa.array([n], pa.int64())], names=["shape", "state", "n"])
+
+    return merged
+
+
+def states_of(counted: DataFrame, extra: str, variable: bool) -> DataFrame:
+    """``shape, state, n``: one row a shape, from ``s, n``.
 
+    Tasks give a state for each shape that they see. Up to ``FEW_STATES`` of them are merged by the driver, more by
+    executors: first parts of each shape, then the shape. Either way gives the same states.
+    """
+    schema = "shape string, state string, n long"
+    parts = staged(counted.mapInArrow(_summed(extra, variable), schema))
+    few = parts.limit(FEW_STATES + 1).collect()
+    if len(few) <= FEW_STATES:
+        states: dict[str, tuple] = {}
+        for shape, text, n in sorted(map(tuple, few)):
+            one, k = states.get(shape, (None, 0))
+            states[shape] = (json.loads(text) if one is None else merge(one, json.loads(text), variable), k + n)
+        return counted.sparkSession.createDataFrame([(k, json.dumps(s), n) for k, (s, n) in states.items()], schema)
+    if variable:  # the foldings depend on the order: the states of a shape in one
+        ordered = parts.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("state", "n"))).alias("all")).select("shape", F.explode("all").alias("x")).select("shape", "x.*")
+        return ordered.groupBy("shape").applyInArrow(_merged(True), schema)
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("state"), F.lit(SALTS)))
+    first = salted.select("shape", "salt", "state", "n").groupBy("shape", "salt").applyInArrow(_merged(False), schema)
+    return first.groupBy("shape").applyInArrow(_merged(False), schema)
+
+
+def _summed(extra: str, variable: bool):
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(extra)
         states: dict[str, list[dict]] = {}
         freq: dict[str, int] = {}
@@ -309,34 +414,33 @@ def _summed(extra: str, variable: bool):
 def infer(df: DataFrame, names: str | Sequence[str], *, tag=False, extra_letters: str | None = None, remove_empties=False, strip=False, variable=False, max_patterns: int | None = None, min_strings_per_pattern: int = 1, dialect="portable", seed: int | None = None, sample: int | None = None) -> Rexes:
     """Expressions for one text column, or for several together.
 
-    All distinct strings count unless ``sample`` gives a number of them, which are drawn by seeded hash. Only states
-    come to the driver: one per shape and task, of the ``MAX_SHAPES`` shapes with the most rows; a warning says so if
-    there are more.
+    All distinct strings count unless ``sample`` gives a number of them, which are drawn by seeded hash. The table is
+    read once, for its distinct strings. Only states come to the driver, one a shape, of the ``MAX_SHAPES`` shapes with
+    the most rows; the strings of all others get one expression of their lengths, so that none is left without, and a
+    warning says so.
     """
     names = [names] if isinstance(names, str) else list(names)
-    counted = _cleaned(df, names, strip)
+    raw = staged(_cleaned(df, names))
+    s = F.col("s")
+    tally = {"nulls": s.isNull(), "pad": s.rlike(r"(?Us)^\s|\s$") if strip else F.lit(False), "empty": F.trim(s) == ""}
+    there = {f"c{i}": F.max(F.contains(s, F.lit(c))) for i, c in enumerate(EXTRAS)}
+    row = raw.agg(*(F.coalesce(F.sum(F.when(t, F.col("n"))), F.lit(0)).alias(k) for k, t in tally.items()), *(c.alias(k) for k, c in there.items())).first()
+    out = Rexes([], n_nulls=row["nulls"], n_stripped=row["pad"], n_empties=row["empty"])
+    extra = "".join(c for i, c in enumerate(EXTRAS) if c in (extra_letters or "") and row[f"c{i}"])
+    counted = raw.filter("s is not null")
+    if strip:
+        counted = counted.groupBy(F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("s")).agg(F.sum("n").alias("n"))
     if remove_empties:
         counted = counted.filter("s <> ''")
-    tally = [F.count_if(col(n).isNull()) for n in names]
-    pad = [F.count_if(col(n).cast("string").rlike(r"(?Us)^\s|\s$")) if strip else F.lit(0) for n in names]
-    empties = [F.count_if(F.trim(col(n).cast("string")) == "") for n in names]
-    row = df.agg(*(sum(x[1:], x[0]).alias(k) for k, x in (("nulls", tally), ("pad", pad), ("empty", empties)))).first()
-    out = Rexes([], n_nulls=row["nulls"], n_stripped=row["pad"], n_empties=row["empty"])
-    extra = extra_letters or ""
-    if extra:
-        there = counted.agg(*(F.max(F.contains("s", F.lit(c))).alias(f"c{i}") for i, c in enumerate(EXTRAS))).first()
-        extra = "".join(c for i, c in enumerate(EXTRAS) if c in extra and there[f"c{i}"])
     used = counted.orderBy(F.xxhash64(F.lit(seed or 0), "s"), "s").limit(sample) if sample else counted
-    parts = used.mapInArrow(_summed(extra, variable), "shape string, state string, n long")
-    top = parts.groupBy("shape").agg(F.sum("n").alias("n"), F.collect_list("state").alias("states")).orderBy(F.desc("n"), "shape").limit(MAX_SHAPES + 1).collect()
+    shapes = states_of(used, extra, variable)
+    if not settled(shapes):
+        shapes = staged(shapes)
+    top = shapes.orderBy(F.desc("n"), "shape").limit(MAX_SHAPES + 1).collect()
+    states = {r["shape"]: json.loads(r["state"]) for r in top[:MAX_SHAPES]}
     if len(top) > MAX_SHAPES:
-        out.warnings.append(f"more than {MAX_SHAPES} shapes; the rarest are left out")
-        top = top[:MAX_SHAPES]
-    states = {}
-    for r in top:
-        for s in sorted(r["states"]):
-            one = json.loads(s)
-            states[r["shape"]] = merge(states[r["shape"]], one, variable) if r["shape"] in states else one
+        out.warnings.append(f"more than {MAX_SHAPES} shapes; strings of the rarest share one expression")
+        states[ANY] = merge(states[ANY], [whole_state(shapes, MAX_SHAPES)]) if ANY in states else [whole_state(shapes, MAX_SHAPES)]
     found = expressions(states, extra, dialect, tag, bool(out.n_stripped))
     if found:
         first = first_match(counted, [a for a, _ in found]).groupBy("pattern").agg(F.sum("n").alias("n")).collect()
