@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,26 +33,21 @@ def parse_date(text):
 _FORM = re.compile(r"^(\d{1,4})([-/. ])(\d{1,2})([-/. ])(\d{1,4})(?:([T ])(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?)?$")
 
 
-def infer_date_format(df: DataFrame, name: str, sample: int | None = None) -> str | None:
-    """Spark datetime pattern of a text column, or None if it isn't one of dates throughout, or is ambiguous.
-
-    ISO order is known by its four-digit year in front. Otherwise day and month are told apart by a value over 12 in
-    either place; all rows count unless ``sample`` limits them. One aggregate answers all questions.
-    """
-    c = F.trim(col(name))
-    rows = df.select(c.alias("v")).filter("v is not null")
-    if sample:
-        rows = rows.limit(sample)
+def _questions(v: Column) -> dict[str, Column]:
+    """Aggregates over a text column from which its date format follows."""
     form = _FORM.pattern
-    part = lambda i: F.regexp_extract("v", form, i)
+    part = lambda i: F.regexp_extract(v, form, i)
     number = lambda i: F.try_to_number(F.when(part(i) != "", F.lpad(part(i), 4, "0")), F.lit("9999")).cast("int")
-    got = rows.agg(
-        F.count("*").alias("n"), F.count_if(F.col("v").rlike(form)).alias("dates"),
-        F.max(number(1)).alias("a"), F.max(number(3)).alias("b"),
-        F.min(F.length(part(1))).alias("first"), F.max(F.length(part(1))).alias("first_most"), F.min(F.length(part(5))).alias("last"), F.max(F.length(part(5))).alias("last_most"),
-        F.min(part(2)).alias("s1"), F.max(part(2)).alias("s2"), F.min(part(4)).alias("s3"), F.max(part(4)).alias("s4"),
-        F.min(part(6)).alias("t1"), F.max(part(6)).alias("t2"), F.count_if(part(9) != "").alias("seconds"), F.count_if(part(10) != "").alias("fractions"),
-    ).first()
+    own = lambda i: F.when(v.isNotNull(), part(i))
+    return {
+        "n": F.count(v), "dates": F.count_if(v.rlike(form)), "a": F.max(number(1)), "b": F.max(number(3)),
+        "first": F.min(F.length(own(1))), "first_most": F.max(F.length(own(1))), "last": F.min(F.length(own(5))), "last_most": F.max(F.length(own(5))),
+        "s1": F.min(own(2)), "s2": F.max(own(2)), "s3": F.min(own(4)), "s4": F.max(own(4)), "t1": F.min(own(6)), "t2": F.max(own(6)),
+        "seconds": F.count_if(own(9) != ""), "fractions": F.count_if(own(10) != ""),
+    }
+
+
+def _format_from(got: dict) -> str | None:
     if not got["n"] or got["dates"] < got["n"] or not got["s1"] == got["s2"] == got["s3"] == got["s4"] or got["t1"] != got["t2"]:
         return None
     s = got["s1"]
@@ -75,15 +71,42 @@ def infer_date_format(df: DataFrame, name: str, sample: int | None = None) -> st
     return f"{date}'{got['t1']}'{time}" if got["t1"] == "T" else f"{date} {time}"
 
 
+def infer_date_formats(df: DataFrame, names: Sequence[str], sample: int | None = None) -> dict[str, str | None]:
+    """Spark datetime pattern of each text column, or None for one that isn't of dates throughout, or is ambiguous.
+
+    ISO order is known by its four-digit year in front. Otherwise day and month are told apart by a value over 12 in
+    either place; all rows count unless ``sample`` limits them. One aggregate answers all questions for all columns.
+    """
+    if not names:
+        return {}
+    rows = df.select(*(F.trim(col(n)).alias(f"v{i}") for i, n in enumerate(names)))
+    if sample:
+        rows = rows.limit(sample)
+    asked = {(n, k): c for i, n in enumerate(names) for k, c in _questions(F.col(f"v{i}")).items()}
+    row = rows.agg(*(c.alias(f"q{i}") for i, c in enumerate(asked.values()))).first()
+    answers: dict[str, dict] = {n: {} for n in names}
+    for i, (n, k) in enumerate(asked):
+        answers[n][k] = row[f"q{i}"]
+    return {n: _format_from(a) for n, a in answers.items()}
+
+
+def infer_date_format(df: DataFrame, name: str, sample: int | None = None) -> str | None:
+    """The pattern of one column, of its rows that aren't null."""
+    return infer_date_formats(df.filter(col(name).isNotNull()) if sample else df, [name], sample)[name]
+
+
 def parsed(c: Column, pattern: str) -> Column:
     return F.try_to_timestamp(c, F.lit(pattern))
 
 
 def convert_dates(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """``df`` with text columns that hold dates throughout as timestamps; a column with any failure stays as it is."""
-    for f in df.schema.fields:
-        if f.dataType.simpleString() == "string" and (names is None or f.name in names) and (pattern := infer_date_format(df, f.name)):
-            new = parsed(F.trim(col(f.name)), pattern)
-            if df.filter(col(f.name).isNotNull() & new.isNull()).isEmpty():
-                df = df.withColumn(f.name, new if "H" in pattern else new.cast("date"))
-    return df
+    """``df`` with text columns that hold dates throughout as timestamps; a column with any failure stays as it is.
+
+    One aggregate finds the patterns of all columns, and one tests them.
+    """
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and (names is None or f.name in names)]
+    new = {n: (p, parsed(F.trim(col(n)), p)) for n, p in infer_date_formats(df, texts).items() if p}
+    if not new:
+        return df
+    lost = df.agg(*(F.count_if(col(n).isNotNull() & c.isNull()).alias(f"l{i}") for i, (n, (_, c)) in enumerate(new.items()))).first()
+    return df.withColumns({n: c if "H" in p else c.cast("date") for i, (n, (p, c)) in enumerate(new.items()) if not lost[f"l{i}"]} or {})

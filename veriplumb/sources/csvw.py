@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import col
 
+log = logging.getLogger("veriplumb")
 #: CSVW and XSD datatypes by logical type (fixed values); all others are strings.
 DATATYPES = {
     "bool": ("boolean",),
@@ -20,7 +23,7 @@ DATATYPES = {
     "datetime": ("datetime", "dateTime", "dateTimeStamp"),
 }
 #: Suffixes of a sidecar file, in order of preference (fixed values).
-SIDECARS = ("-metadata.json", ".metadata.json", "-csvmetadata.json", ".csvmetadata.json", "-csvw.json")
+SIDECARS = ("-metadata.json", ".metadata.json", "-csvmetadata.json", "-csv-metadata.json", ".csvmetadata.json", ".csv-metadata.json", "-csvw.json", ".schema.json", ".schema.yaml", ".resource.json", ".resource.yaml", ".package.json", ".package.yaml")
 
 
 @dataclass
@@ -55,6 +58,27 @@ class TableMetadata:
             out.append(typed_column(c, f).alias(f.name, metadata={"titles": f.titles} if f.titles else {}))
         return raw.select(*out)
 
+    def validated(self) -> TableMetadata:
+        """Itself, with what is wrong or odd in ``errors`` and ``warnings``; both are logged."""
+        for f in self.fields:
+            if f.type in ("date", "datetime") and f.format and not re.search("[yM]", f.format):
+                self.warnings.append(f"column {f.name}: {f.format!r} is no date format")
+            if f.type == "bool" and f.format and f.format.count("|") != 1:
+                self.warnings.append(f"column {f.name}: {f.format!r} isn't two texts parted by |")
+            if not f.name.strip():
+                self.errors.append("a column has no name")
+        if len(self.delimiter) != 1:
+            self.errors.append(f"the delimiter {self.delimiter!r} isn't one character")
+        for said, level in ((self.errors, logging.ERROR), (self.warnings, logging.WARNING)):
+            for x in said:
+                log.log(level, "%s: %s", self.url or "metadata", x)
+        return self
+
+    def report(self) -> str:
+        """Columns with their types, then errors and warnings."""
+        lines = [f"{f.name}: {f.type}" + (f" ({f.format})" if f.format else "") + (", required" if f.required else "") for f in self.fields]
+        return "\n".join([*lines, *(f"error: {x}" for x in self.errors), *(f"warning: {x}" for x in self.warnings)]) + "\n"
+
     def to_dict(self) -> dict:
         return {"url": self.url, "dialect": {"delimiter": self.delimiter, "header": self.header, "quoteChar": self.quote, "encoding": self.encoding}, "fields": [{k: v for k, v in vars(f).items() if v} for f in self.fields]}
 
@@ -130,7 +154,7 @@ def parse(said: dict, folder: str = "", table_number: int | None = None, table_n
         seen.add(f.name)
     if not fields:
         out.warnings.append("no columns are described")
-    return out
+    return out.validated()
 
 
 def metadata_kind(path: str) -> str | None:
@@ -151,11 +175,16 @@ def find_metadata(path: str) -> str | None:
 
 
 def load_metadata(path: str, table_number: int | None = None, table_name: str | None = None) -> TableMetadata:
+    """Metadata from a file: CSVW or a table of fields in JSON, a table schema or data package in JSON or YAML."""
     with open(path, encoding="utf-8") as f:
+        if path.lower().endswith((".yaml", ".yml")):
+            import yaml  # not needed for anything else
+
+            return frictionless(yaml.safe_load(f))
         said = json.load(f)
     context = said.get("@context")
     if not context or "csvw" not in json.dumps(context):
-        if "fields" in said or "resources" in said:
+        if {"fields", "resources", "schema"} & set(said):
             return frictionless(said)
         raise ValueError(f"{path} is not CSVW metadata")
     return parse(said, os.path.dirname(path), table_number, table_name)
@@ -165,6 +194,25 @@ def frictionless(said: dict) -> TableMetadata:
     """A table schema or the first resource of a data package."""
     resource = (said.get("resources") or [said])[0]
     schema = resource.get("schema", resource)
-    kinds = {"integer": "int", "number": "number", "boolean": "bool", "date": "date", "datetime": "datetime"}
-    fields = [FieldMetadata(f["name"], kinds.get(f.get("type"), "string"), titles=[f["title"]] if "title" in f else []) for f in schema.get("fields", [])]
-    return TableMetadata(fields, resource.get("path"), resource.get("dialect", {}).get("delimiter", ","), nulls=schema.get("missingValues"))
+    if not isinstance(schema, dict):
+        raise ValueError("a schema in another file is not read")
+    fields = []
+    for f in schema.get("fields", []):
+        kind = f.get("type") or f.get("datatype") or f.get("fieldtype") or "string"
+        titles = [f["title"]] if "title" in f else []
+        constraints = f.get("constraints") or {}
+        form = f.get("format") if f.get("format") not in (None, "default", "any") else None
+        fields.append(FieldMetadata(f["name"], kind if kind in ("bool",) else logical(kind), strptime_as_spark(form) if form and "%" in form else form if form and logical(kind) != "string" else None, titles, bool(constraints.get("required"))))
+    dialect = resource.get("dialect") if isinstance(resource.get("dialect"), dict) else {}
+    out = TableMetadata(fields, resource.get("path"), dialect.get("delimiter", resource.get("delimiter", ",")), bool(dialect.get("header", True)), dialect.get("quoteChar", '"'), encoding=resource.get("encoding", "UTF-8"), nulls=schema.get("missingValues"))
+    return out.validated()
+
+
+#: Spark's letters for those of strptime (fixed values).
+STRPTIME = {"Y": "yyyy", "y": "yy", "m": "M", "d": "d", "H": "H", "M": "mm", "S": "ss", "f": "SSSSSS", "B": "MMMM", "b": "MMM", "j": "D", "T": "H:mm:ss"}
+
+
+def strptime_as_spark(form: str) -> str:
+    """A date format of per cent signs as Spark writes it; other letters are quoted."""
+    parts = re.findall(r"%(.)|([A-Za-z]+)|([^%A-Za-z]+)", form)
+    return "".join(STRPTIME.get(c, c) if c else f"'{w}'" if w else x for c, w, x in parts)

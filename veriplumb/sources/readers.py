@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import convert_dates
+from ..functions.staging import new_place
 from ..functions.types import col
 from .writers import SEPARATORS
 
@@ -20,9 +21,32 @@ from .writers import SEPARATORS
 NULLS = ("", "NaN", "NULL")
 
 
-def read_text_table(spark: SparkSession, path: str, sep: str = ",", header: bool = True, quote: str = '"', escape: str = "\\", encoding: str = "UTF-8", nulls: Sequence[str] = NULLS, names: Sequence[str] | None = None) -> DataFrame:
-    """A delimited file with all columns as strings, and the null texts as nulls."""
-    df = spark.read.csv(path, sep=sep, header=header, quote=quote, escape=escape, encoding=encoding, multiLine=True, inferSchema=False, nullValue=None)
+def quoting(spark: SparkSession, path: str, quote: str = '"', escape: str = "\\") -> tuple[bool, bool]:
+    """Whether quoted fields of a file hold line breaks, and whether quotes in them are doubled rather than escaped.
+
+    A line of a field that goes on has an odd number of quotes. One pass over the lines, which no task needs in one piece.
+    """
+    if not quote:
+        return False, False
+    q, e = re.escape(quote), re.escape(escape or quote)
+    plain = F.regexp_replace("value", f"{e}{q}", "") if escape and escape != quote else F.col("value")
+    inner = F.regexp_count(plain, F.lit(f"[^{q}]{q}{q}[^{q}]|{q}{q}{q}"))
+    got = spark.read.text(path).agg(F.count_if(F.regexp_count(plain, F.lit(q)) % 2 == 1).alias("odd"), F.count_if(inner > 0).alias("doubled"), F.count_if(plain != F.col("value")).alias("escaped")).first()
+    return got["odd"] > 0, got["doubled"] > 0 and not got["escaped"]
+
+
+def read_text_table(spark: SparkSession, path: str, sep: str = ",", header: bool = True, quote: str = '"', escape: str = "\\", encoding: str = "UTF-8", nulls: Sequence[str] = NULLS, names: Sequence[str] | None = None, multi_line: bool | None = None) -> DataFrame:
+    """A delimited file with all columns as strings, and the null texts as nulls.
+
+    Files are split between tasks unless quoted fields hold line breaks (``multi_line``); by default the lines are
+    looked at for that first. A file whose quotes are doubled, and nowhere escaped, is read without the escape character.
+    """
+    if multi_line is None or escape and escape != quote:
+        ascii_like = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8", "US-ASCII", "ASCII", "ISO-8859-1", "LATIN-1", "LATIN1", "WINDOWS-1252", "CP1252")
+        breaks, doubled = quoting(spark, path, quote, escape) if ascii_like else (True, False)
+        multi_line = breaks if multi_line is None else multi_line
+        escape = quote if doubled else escape
+    df = spark.read.csv(path, sep=sep, header=header, quote=quote, escape=escape, encoding=encoding, multiLine=multi_line, inferSchema=False, nullValue=None)
     if names:
         df = df.toDF(*names)
     return df.select(*(F.when(~col(c).isin(list(nulls)), col(c)).alias(c) for c in df.columns))
@@ -78,17 +102,20 @@ def read_csv_with_metadata(spark: SparkSession, path: str, metadata=None, *, fin
     return (df, md) if return_metadata else df
 
 
-def load(spark: SparkSession, path: str, metadata: str | None = None, infer: bool = True) -> DataFrame:
-    """A table by its path: parquet, delimited text (csv, psv, tsv, txt), a metadata file, ``-`` for standard input, or
-    the name of a table of the catalogue."""
-    if path == "-":
-        with tempfile.NamedTemporaryFile("w", suffix=".csv", delete=False, encoding="utf-8") as f:
-            f.write(sys.stdin.read())
-        return load(spark, f.name, metadata, infer)
+def load(spark: SparkSession, path: str, metadata: str | None = None, infer: bool = True, conn: str | dict | None = None, **database) -> DataFrame:
+    """A table by its path: parquet, delimited text (csv, psv, tsv, txt), a metadata file, ``-`` for standard input,
+    ``dbtype:table`` of a database (with a connection file, or options such as ``db`` and ``host``), or the name of a
+    table of the catalogue."""
+    if path == "-":  # through the shared folder, as executors don't see the driver's input
+        place = f"{new_place(spark)}.csv"
+        spark.createDataFrame([(x,) for x in sys.stdin.read().splitlines()], "value string").coalesce(1).write.text(place)
+        return load(spark, place, metadata, infer)
+    if parse_table_name(path)[0] in {*JDBC, "postgresql"}:
+        return read_database(spark, path, conn, **database)
     ext = os.path.splitext(path)[1].lstrip(".").lower()
     if ext == "parquet":
         return spark.read.parquet(path)
-    if ext == "json" and os.path.exists(path):
+    if ext in ("json", "yaml") and os.path.exists(path):
         from .csvw import load_metadata
 
         md = load_metadata(path)
@@ -104,7 +131,7 @@ def load(spark: SparkSession, path: str, metadata: str | None = None, infer: boo
 
 
 #: JDBC drivers and URL forms by database (fixed values).
-JDBC = {"postgres": ("org.postgresql.Driver", "jdbc:postgresql://{host}:{port}/{db}", 5432), "mysql": ("com.mysql.cj.jdbc.Driver", "jdbc:mysql://{host}:{port}/{db}", 3306), "sqlite": ("org.sqlite.JDBC", "jdbc:sqlite:{db}", 0)}
+JDBC = {"derby": ("org.apache.derby.jdbc.EmbeddedDriver", "jdbc:derby:{db}", 0), "postgres": ("org.postgresql.Driver", "jdbc:postgresql://{host}:{port}/{db}", 5432), "mysql": ("com.mysql.cj.jdbc.Driver", "jdbc:mysql://{host}:{port}/{db}", 3306), "sqlite": ("org.sqlite.JDBC", "jdbc:sqlite:{db}", 0)}
 
 
 def connection(path: str | None = None, dbtype: str | None = None, **given) -> dict[str, str]:
@@ -137,8 +164,58 @@ def parse_table_name(name: str) -> tuple[str | None, str]:
 def read_database(spark: SparkSession, name: str, conn: str | dict | None = None, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 8, **given) -> DataFrame:
     """A database table through JDBC; Spark pushes filters and aggregates down. A bounded column splits the scan."""
     kind, table = parse_table_name(name)
+    if kind == "sqlite" and not isinstance(conn, dict) and not has_driver(spark, JDBC["sqlite"][0]):
+        from .sqlite import read_sqlite
+
+        return read_sqlite(spark, connection(conn, kind, **given)["url"].removeprefix("jdbc:sqlite:"), table, partitions)
     options = conn if isinstance(conn, dict) else connection(conn, kind, **given)
     reader = spark.read.format("jdbc").options(dbtable=table, **options)
     if partition_column and bounds:
         reader = reader.options(partitionColumn=partition_column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
     return reader.load()
+
+
+def has_driver(spark: SparkSession, name: str) -> bool:
+    """Whether a JDBC driver is on the driver's class path."""
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName(name)
+        return True
+    except Exception:  # noqa: BLE001 - a Java exception, whose type depends on the bridge
+        return False
+
+
+def check_table_exists(spark: SparkSession, name: str, conn: str | dict | None = None, **given) -> bool:
+    """Whether a table of a database (``dbtype:table``) or of the catalogue can be read."""
+    if parse_table_name(name)[0] is None:
+        return spark.catalog.tableExists(name)
+    try:
+        read_database(spark, name, conn, **given).limit(0).count()
+        return True
+    except ValueError:
+        raise
+    except Exception:  # noqa: BLE001 - what drivers raise differs
+        return False
+
+
+def run_script(spark: SparkSession, kind: str, path: str, conn: str | dict | None = None, **given) -> int:
+    """Runs the statements of an SQL file, parted by semicolons at line ends, in a database; returns how many.
+
+    A fixture loader: it works on one connection, from the driver.
+    """
+    with open(path, encoding="utf-8") as f:
+        statements = [s for s in (x.strip() for x in re.split(r";[ \t]*(?:\n|$)", f.read())) if s]
+    options = conn if isinstance(conn, dict) else connection(conn, kind, **given)
+    if kind == "sqlite" and not has_driver(spark, options["driver"]):
+        from .sqlite import run_statements
+
+        run_statements(options["url"].removeprefix("jdbc:sqlite:"), statements)
+        return len(statements)
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.Class.forName(options["driver"])
+    link = jvm.java.sql.DriverManager.getConnection(options["url"], options.get("user"), options.get("password")) if "user" in options else jvm.java.sql.DriverManager.getConnection(options["url"])
+    try:
+        for s in statements:
+            link.createStatement().execute(s)
+    finally:
+        link.close()
+    return len(statements)
