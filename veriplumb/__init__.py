@@ -8,17 +8,18 @@ __version__ = "0.1.0"
 
 _PLACES = {
     "operators.model": ("Constraint", "DatasetConstraints", "FieldConstraints", "InvalidConstraint"),
-    "operators.profile": ("profile", "profile_table"),
+    "operators.profile": ("all_booleans", "profile", "profile_table"),
     "operators.discover": ("discover_df", "discover_table"),
-    "operators.verify": ("verify_df", "verify_table"),
+    "operators.verify": ("verify_df", "verify_table", "violating_values"),
+    "operators.custom": ("Calculator", "Detector", "discover_with", "verify_with"),
     "operators.detect": ("detect_df", "detect_table", "observed"),
-    "operators.rexinfer": ("extract", "extract_checked", "infer", "coverage", "incremental_coverage"),
+    "operators.rexinfer": ("extract", "extract_checked", "infer", "coverage", "incremental_coverage", "align", "aligned_view"),
     "operators.compare": ("compare", "all_fields_except"),
     "operators.textdiff": ("compare_texts", "compare_files", "compare_binary"),
-    "sources.readers": ("load", "read_csv_with_metadata", "read_database"),
+    "sources.readers": ("load", "read_csv_with_metadata", "read_database", "check_table_exists"),
     "sources.writers": ("save",),
     "streaming.checks": ("verify_stream", "quarantine"),
-    "reftest": ("ReferenceTest", "ReferenceTestCase", "tag"),
+    "reftest": ("ReferenceTest", "ReferenceTestCase", "captured", "tag"),
 }
 _WHERE = {name: place for place, names in _PLACES.items() for name in names}
 __all__ = [*_WHERE, "__version__"]

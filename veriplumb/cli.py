@@ -52,6 +52,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("expected")
     c.add_argument("--key", nargs="*")
     c.add_argument("--precision", type=int, default=6)
+    for v in {id(v): v for k, v in sub.choices.items() if k in ("discover", "verify", "detect", "diff")}.values():
+        v.add_argument("--conn", help="file of database options, for an input dbtype:table")
+        for name in ("db", "host", "port", "user", "password"):
+            v.add_argument(f"--{name}")
     r = sub.add_parser("rex", help="regular expressions for the lines of a file")
     r.add_argument("input", nargs="?", default="-")
     r.add_argument("output", nargs="?", default="-")
@@ -69,15 +73,32 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--iterations", type=int, default=2)
     w = sub.add_parser("csvw", help="what a metadata file says")
     w.add_argument("metadata")
+    w.add_argument("--report", action="store_true", help="columns, errors and warnings")
     sub.add_parser("version")
     return p
 
 
 def extensions() -> list:
-    """Modules named in VERIPLUMB_EXTENSIONS, by colons: each has ``applicable(argv)`` and ``run(argv)``."""
+    """Modules named in VERIPLUMB_EXTENSIONS, by colons.
+
+    Each may have ``applicable(argv)`` and ``run(argv)``, which take over a whole command, and ``frame(spark, path)``, which
+    returns a DataFrame for inputs that it knows and None for others: discovery, verification and detection then work on it.
+    """
     return [importlib.import_module(m) for m in os.environ.get("VERIPLUMB_EXTENSIONS", "").split(":") if m]
 
 
+def source_frame(spark, a, path: str):
+    """The table that an argument names: by the first extension that knows it, else as ``load`` reads it."""
+    for e in extensions():
+        frame = getattr(e, "frame", None)
+        if frame is not None and (df := frame(spark, path)) is not None:
+            return df
+    from .sources.readers import load
+
+    given = {k: getattr(a, k, None) for k in ("conn", "db", "host", "port", "user", "password")}
+    return load(spark, path, **{k: v for k, v in given.items() if v is not None})
+
+
 def constraint_path(said: str | None, source: str) -> str:
     return said or os.path.splitext(source)[0] + ".constraints"
 
@@ -92,7 +113,7 @@ def rex_lines(lines: list[str], header=False, quote=False, **options) -> list[st
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     for e in extensions():
-        if e.applicable(argv):
+        if hasattr(e, "applicable") and e.applicable(argv):
             return e.run(argv) or 0
     a = parser().parse_args(argv)
     if a.command == "version":
@@ -106,7 +127,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "csvw":
         from .sources.csvw import load_metadata
 
-        print(load_metadata(a.metadata).to_json(), end="")
+        md = load_metadata(a.metadata)
+        print(md.report() if a.report else md.to_json(), end="")
         return 0
     if a.command == "rex":
         if a.input == "-":
@@ -122,13 +144,11 @@ def main(argv: list[str] | None = None) -> int:
             with open(a.output, "w", encoding="utf-8") as f:
                 f.write(found)
         return 0
-    from .sources.readers import load
-
     spark = session()
     if a.command in ("discover", "disco"):
         from .operators.discover import discover_df
 
-        found = discover_df(load(spark, a.input), inc_rex=a.rex and not a.norex, dataset=os.path.basename(a.input), source=os.path.abspath(a.input))
+        found = discover_df(source_frame(spark, a, a.input), inc_rex=a.rex and not a.norex, dataset=os.path.basename(a.input), source=os.path.abspath(a.input))
         if found is None:
             print("no constraints found", file=sys.stderr)
             return 1
@@ -140,12 +160,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "diff":
         from .operators.compare import compare
 
-        d = compare(load(spark, a.actual), load(spark, a.expected), key=a.key, type_matching="medium", precision=a.precision)
+        d = compare(source_frame(spark, a, a.actual), source_frame(spark, a, a.expected), key=a.key, type_matching="medium", precision=a.precision)
         print(d if d else "the tables are the same")
         return int(bool(d))
     path = constraint_path(a.constraints, a.input)
     report = "fields" if a.fields else "all" if a.all or a.command == "verify" else "records"
-    df = load(spark, a.input)
+    df = source_frame(spark, a, a.input)
     if a.command == "verify":
         from .operators.verify import verify_df
 

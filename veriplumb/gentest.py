@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import difflib
 import getpass
+import logging
 import os
 import re
 import shutil
@@ -17,8 +18,9 @@ from dataclasses import dataclass, field
 
 from .operators.rexinfer import extract
 
-#: Files of a folder that are looked at, at most.
+#: Files of a folder that are looked at, at most, unless told otherwise (fixed value); beyond it, a warning is given.
 MOST_FILES = 10_000
+log = logging.getLogger("veriplumb")
 
 
 @dataclass
@@ -30,13 +32,14 @@ class Run:
     files: dict[str, bytes] = field(default_factory=dict)
 
 
-def changed_files(folder: str, since: float) -> dict[str, bytes]:
+def changed_files(folder: str, since: float, most: int | None = MOST_FILES) -> dict[str, bytes]:
     out: dict[str, bytes] = {}
     seen = 0
     for d, _, names in os.walk(folder):
         for n in sorted(names):
             seen += 1
-            if seen > MOST_FILES:
+            if most is not None and seen > most:
+                log.warning("%s holds more than %d files; those after are not looked at", folder, most)
                 return out
             p = os.path.join(d, n)
             if os.path.isfile(p) and os.stat(p).st_mtime >= since:
@@ -45,10 +48,10 @@ def changed_files(folder: str, since: float) -> dict[str, bytes]:
     return out
 
 
-def run(command: str, folder: str) -> Run:
+def run(command: str, folder: str, most: int | None = MOST_FILES) -> Run:
     began = time.time()
     p = subprocess.run(command, shell=True, cwd=folder, capture_output=True, text=True, errors="replace")
-    return Run(p.stdout, p.stderr, p.returncode, time.time() - began, changed_files(folder, began - 0.01))
+    return Run(p.stdout, p.stderr, p.returncode, time.time() - began, changed_files(folder, began - 0.01, most))
 
 
 def is_text(data: bytes) -> bool:
@@ -125,10 +128,10 @@ def allowance(texts: list[str], folder: str, began: datetime.datetime, ended: da
     return out
 
 
-def generate(command: str, script: str, folder: str = ".", iterations: int = 2, check_stdout: bool = True, check_stderr: bool = True, max_files: int | None = None) -> str:
+def generate(command: str, script: str, folder: str = ".", iterations: int = 2, check_stdout: bool = True, check_stderr: bool = True, max_files: int | None = None, most_files: int | None = MOST_FILES) -> str:
     """Writes ``script``, a ``unittest`` of ``command``, and its reference results beside it; returns the script's path."""
     began = datetime.datetime.now()
-    runs = [run(command, folder) for _ in range(max(1, iterations))]
+    runs = [run(command, folder, most_files) for _ in range(max(1, iterations))]
     ended = datetime.datetime.now()
     stem = os.path.splitext(os.path.basename(script))[0]
     ref = os.path.join(os.path.dirname(os.path.abspath(script)), "ref", stem)

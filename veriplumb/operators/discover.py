@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 
 from ..functions.types import field_types
@@ -46,18 +48,22 @@ def field_constraints(p: ColumnProfile, rexes: list[str] | None = None) -> Field
     return FieldConstraints(p.name, found)
 
 
-def discover_df(df: DataFrame, inc_rex: bool = False, seed: int | None = None, dataset: str | None = None, source: str | None = None) -> DatasetConstraints | None:
-    """Constraints of all fields, or None if no field has any. ``inc_rex`` adds regular expressions of string fields."""
-    profiles, _ = profile(df)
+def discover_df(df: DataFrame, inc_rex: bool = False, seed: int | None = None, dataset: str | None = None, source: str | None = None, kinds: Collection[str] | None = None) -> DatasetConstraints | None:
+    """Constraints of all fields, or None if no field has any. ``inc_rex`` adds regular expressions of string fields.
+
+    ``kinds`` limits them to some kinds; distinct values are counted just for kinds that need them.
+    """
+    wants = lambda kind: kinds is None or kind in kinds
+    profiles, _ = profile(df, distinct=None if wants("no_duplicates") else (), values=wants("allowed_values"))
     fields = []
     for name in field_types(df):
         rexes = None
-        if inc_rex and profiles[name].type == "string":
+        if inc_rex and wants("rex") and profiles[name].type == "string":
             from .rexinfer import infer
 
             rexes = infer(df, name, seed=seed).rex
         if f := field_constraints(profiles[name], rexes):
-            fields.append(f)
+            fields.append(FieldConstraints(name, [c for c in f if wants(c.kind)]))
     if not fields:
         return None
     out = DatasetConstraints(fields)

@@ -41,8 +41,8 @@ class ColumnProfile:
         return self.n_distinct == self.n_nonnull
 
 
-def statistics(name: str, kind: str) -> dict[str, Column]:
-    """The aggregates of one column."""
+def statistics(name: str, kind: str, estimate: bool = True) -> dict[str, Column]:
+    """The aggregates of one column; ``estimate`` adds an approximate number of distinct values."""
     c = col(name)
     out = {"n_nonnull": F.count(c)}
     if kind in ("bool", "int", "real", "date", "string"):
@@ -51,7 +51,7 @@ def statistics(name: str, kind: str) -> dict[str, Column]:
         out |= {"min_length": F.min(F.char_length(c)), "max_length": F.max(F.char_length(c))}
     if kind == "real":
         out["non_integral"] = F.count_if(c != F.floor(c))
-    if kind in ("string", "int"):
+    if estimate and kind in ("string", "int"):
         out["estimate"] = F.approx_count_distinct(c, ESTIMATE)
     return out
 
@@ -70,12 +70,12 @@ def profile(df: DataFrame, fields: Iterable[str] | None = None, distinct: Iterab
     """Profiles of ``fields`` (all by default), and the values of ``extra`` aggregates, from one pass.
 
     ``n_distinct`` is exact where given. By default it is counted for string and int columns that may be unique or have
-    few values, as an estimate in the first pass tells; for others it is None. ``distinct`` names columns that need it.
-    Only the columns that are asked for are read.
+    few values, as an estimate in the first pass tells; for others it is None. ``distinct`` names columns that need it;
+    then, and without ``values``, nothing is estimated. Only the columns that are asked for are read.
     """
     kinds = {n: k for n, k in field_types(df).items() if fields is None or n in set(fields)}
     df = normalised(df) if extra else normalised(df.select(*(col(n) for n in kinds)))
-    plan = {(n, s): c for n, k in kinds.items() for s, c in statistics(n, k).items()}
+    plan = {(n, s): c for n, k in kinds.items() for s, c in statistics(n, k, values or distinct is None).items()}
     keys = list(plan)
     more = dict(extra or {})
     row = df.agg(F.count(F.lit(1)).alias("n"), *(plan[k].alias(f"s{i}") for i, k in enumerate(keys)), *(c.alias(f"x{i}") for i, c in enumerate(more.values()))).first()
@@ -95,6 +95,18 @@ def profile(df: DataFrame, fields: Iterable[str] | None = None, distinct: Iterab
     return out, {k: row[f"x{i}"] for i, k in enumerate(more)}
 
 
+def all_booleans(df: DataFrame, name: str) -> bool:
+    """Whether all non-null values of a column are booleans, or the texts true and false in any case."""
+    kind = field_types(df)[name]
+    if kind != "string":
+        return kind == "bool"
+    return df.filter(not_boolean(name)).isEmpty()
+
+
+def not_boolean(name: str) -> Column:
+    return col(name).isNotNull() & ~F.lower(col(name)).isin("true", "false")
+
+
 def profile_table(df: DataFrame) -> DataFrame:
     """One row per column: field, type, n_records, n_nulls, min, max (as text), lengths, non_integral."""
     kinds = field_types(df)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.regexes import matches_any
 from ..functions.types import coarse, col, field_types, normalised
 from .model import KINDS, Constraint, DatasetConstraints
-from .profile import ColumnProfile, profile
+from .profile import ColumnProfile, not_boolean, profile
 
 log = logging.getLogger("veriplumb")
 MARKS = {True: "✓", False: "✗", None: "-"}
@@ -72,9 +72,22 @@ def violations(name: str, kind: str, c: Constraint) -> Column | None:
         return F.count_if(col(name).isNotNull() & ~_listed(col(name), listed))
     if c.kind == "rex":
         return F.count_if(~matches_any(col(name), c.value))
+    if c.kind == "type" and kind == "string" and "bool" in (c.value if isinstance(c.value, list) else [c.value]):
+        return F.count_if(not_boolean(name))
     return None
 
 
+def violating_values(df: DataFrame, name: str, constraint: Constraint | tuple[str, list]) -> DataFrame:
+    """``value, n``: distinct values of a column that break an ``allowed_values`` or ``rex`` constraint, with their rows."""
+    c = constraint if isinstance(constraint, Constraint) else Constraint(*constraint)
+    if c.kind not in ("allowed_values", "rex"):
+        raise ValueError(f"values don't break a constraint of kind {c.kind} one by one")
+    rows = normalised(df.select(col(name))).filter(col(name).isNotNull()).groupBy(col(name).alias("value")).agg(F.count("*").alias("n"))
+    if c.value is None:
+        return rows.limit(0)
+    return rows.filter(~_listed(F.col("value"), [x for x in c.value if x is not None]) if c.kind == "allowed_values" else ~matches_any(F.col("value"), c.value))
+
+
 def _listed(c: Column, values: list) -> Column:
     return c.isin(values) if values else F.lit(False)
 
@@ -103,7 +116,11 @@ def holds(c: Constraint, p: ColumnProfile | None, against: int | None = None, ep
         allowed = v if isinstance(v, list) else [v]
         if p.type in allowed:
             return True
-        return type_checking == "sloppy" and p.type == "real" and p.non_integral == 0 and bool({"int", "bool"} & set(allowed))
+        if type_checking != "sloppy":
+            return False
+        if p.type == "string":  # text of booleans alone
+            return "bool" in allowed and against == 0
+        return p.type == "real" and p.non_integral == 0 and bool({"int", "bool"} & set(allowed))
     if c.kind == "sign":
         if v == "null":
             return p.n_nonnull == 0
@@ -214,4 +231,4 @@ def verify_table(spark: SparkSession, name: str, constraints, **options) -> Veri
     return verify_df(spark.table(name), constraints, **options)
 
 
-__all__ = ["Verification", "as_constraints", "bound_holds", "fuzzy_bound", "holds", "normalised", "repaired", "verify_df", "verify_table"]
+__all__ = ["Verification", "as_constraints", "bound_holds", "fuzzy_bound", "holds", "normalised", "repaired", "verify_df", "verify_table", "violating_values"]

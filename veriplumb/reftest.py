@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import filecmp
+import io
 import os
 import shutil
 import sys
@@ -24,6 +26,28 @@ def tag(test):
     return test
 
 
+class Captured(io.StringIO):
+    """Text that was printed; ``str`` gives it."""
+
+    def __str__(self) -> str:
+        return self.getvalue()
+
+
+@contextlib.contextmanager
+def captured(stream: str = "stdout", echo: bool = False):
+    """What is printed to ``stdout`` or ``stderr`` inside the block, so that it can be compared; ``echo`` prints it too."""
+    if stream not in ("stdout", "stderr"):
+        raise ValueError(f"can't capture {stream}")
+    out = Captured()
+    redirect = contextlib.redirect_stdout if stream == "stdout" else contextlib.redirect_stderr
+    try:
+        with redirect(out):
+            yield out
+    finally:
+        if echo:
+            getattr(sys, stream).write(str(out))
+
+
 class ReferenceTest:
     """Assertions against stored results.
 
