@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import infer_date_format, parsed
+from ..functions.dates import convert_dates, infer_date_format, parsed
+from ..functions.staging import new_place
 from ..functions.types import col, field_types, normalised
 from ..operators import compare as cmp
 from ..operators.detect import detect_df
 from ..operators.discover import discover_df
+from ..operators.model import DatasetConstraints
 from ..operators.profile import exact_distinct, profile_table, statistics, unique_values
 from ..operators.rexinfer import coverage, first_match, incremental_coverage, infer, matching_examples, runs
-from ..operators.verify import verify_df
-from ..sources.readers import upgrade_integral_floats
+from ..operators.textdiff import compare_huge
+from ..operators.verify import repaired, verify_df, violating_values
+from ..sources.readers import load, read_csv_with_metadata, read_text_table, upgrade_integral_floats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,7 +137,7 @@ def discover_sign(spark, sf_dir):
 
 @query(union_sql(NUMBERS, "CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max", "lineitem"))
 def discover_minmax(spark, sf_dir):
-    rows = discover_df(_t(spark, sf_dir, "lineitem").select(*NUMBERS)).to_df(spark)
+    rows = discover_df(_t(spark, sf_dir, "lineitem").select(*NUMBERS), kinds=("min", "max")).to_df(spark)
     return rows.groupBy("field").agg(*(F.max(F.when(F.col("kind") == k, F.col("value").cast("double"))).alias(k) for k in ("min", "max")))
 
 
@@ -343,7 +346,13 @@ def rex_signature_groups(spark, sf_dir):
     return counted.mapInArrow(shapes, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
 
 
-@query()
+def _width(low: str, high: str, one: str) -> str:
+    """SQL for a class with its quantifier, from the least and most length of a run."""
+    return f"""CASE WHEN {low} = {high} THEN '{one}' || CASE WHEN {low} = 1 THEN '' ELSE '{{' || {low} || '}}' END WHEN {high} - {low} <= 2 THEN '{one}{{' || {low} || ',' || {high} || '}}' ELSE '{one}+' END"""
+
+
+@query(f"""SELECT '^Brand\\#' || {_width("MIN(LENGTH(p_brand)) - 6", "MAX(LENGTH(p_brand)) - 6", "[0-9]")} || '$' AS rex, CAST(COUNT(*) AS BIGINT) AS n FROM part
+UNION ALL SELECT '^' || {_width("MIN(LENGTH(p_type))", "MAX(LENGTH(p_type))", "[A-Z]")} || '$', CAST(COUNT(*) AS BIGINT) FROM part""")
 def rex_infer(spark, sf_dir):
     found = infer(_t(spark, sf_dir, "part"), ["p_brand", "p_type"])
     return spark.createDataFrame(list(zip(found.rex, found.frequencies, strict=True)), "rex string, n long")
@@ -355,7 +364,17 @@ def rex_infer_urls(spark, sf_dir):
     return spark.createDataFrame(list(zip(found.rex, found.frequencies, strict=True)), "rex string, n long")
 
 
-@query()
+def _greedy_sql() -> str:
+    """Greedy coverage by three patterns, a step each: the most new rows, ties by text; then without the strings it matches."""
+    sql = ["WITH s AS (SELECT p_brand AS s, COUNT(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1)", "p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(BRANDS)) + ") AS t(place, rex))", "m AS (SELECT place, rex, s, n FROM p JOIN s ON regexp_matches(s, rex))"]
+    for k in range(len(BRANDS)):
+        gone = " UNION ALL ".join(f"SELECT place FROM f{j}" for j in range(k)) or "SELECT -1"
+        sql.append(f"f{k} AS (SELECT p.place, p.rex, COALESCE(SUM(m.n), 0) AS incr, COUNT(m.s) AS incr_uniq FROM p LEFT JOIN (SELECT * FROM m WHERE s NOT IN (SELECT s FROM m WHERE place IN ({gone}))) m ON m.place = p.place WHERE p.place NOT IN ({gone}) GROUP BY 1, 2 ORDER BY incr DESC, p.rex LIMIT 1)")
+    every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(len(BRANDS)))
+    return ", ".join(sql) + f" SELECT f.rex, CAST(COALESCE(SUM(m.n), 0) AS BIGINT) AS n, CAST(COUNT(m.s) AS BIGINT) AS n_uniq, CAST(f.incr AS BIGINT) AS incr, CAST(f.incr_uniq AS BIGINT) AS incr_uniq, CAST(f.place AS BIGINT) AS place FROM ({every}) f LEFT JOIN m ON m.place = f.place GROUP BY f.rex, f.incr, f.incr_uniq, f.place"
+
+
+@query(_greedy_sql())
 def rex_incremental_coverage(spark, sf_dir):
     found = incremental_coverage(_t(spark, sf_dir, "part"), "p_brand", BRANDS)
     return spark.createDataFrame([(k, c.n, c.n_uniq, c.incr, c.incr_uniq, c.index) for k, c in found.items()], "rex string, n long, n_uniq long, incr long, incr_uniq long, place long")
@@ -415,6 +434,151 @@ def upgrade_integral(spark, sf_dir):
     return upgrade_integral_floats(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"))
 
 
+def _summary(spark, d):
+    return spark.createDataFrame([(d.n_actual, d.n_expected, d.n_values, d.n_rows)], "n_actual long, n_expected long, n_values long, n_rows long")
+
+
+PRICE_CHANGED = "COUNT(*) FILTER (o_orderkey % 10 = 3)"
+
+
+@query(f"SELECT CAST(COUNT(*) AS BIGINT) AS n_actual, CAST(COUNT(*) AS BIGINT) AS n_expected, CAST({PRICE_CHANGED} AS BIGINT) AS n_values, CAST({PRICE_CHANGED} AS BIGINT) AS n_rows FROM orders")
+def cmp_sorted(spark, sf_dir):
+    """By position after a sort, of tables whose rows lie in different partitions."""
+    o = _t(spark, sf_dir, "orders")
+    changed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 3, F.col("o_totalprice") + 0.5).otherwise(F.col("o_totalprice")))
+    return _summary(spark, cmp.compare(changed.repartition(5, "o_custkey"), o, sortby=["o_orderkey"]))
+
+
+@query("SELECT CAST(COUNT(*) AS BIGINT) AS n_actual, CAST(COUNT(*) AS BIGINT) AS n_expected, CAST(COUNT(*) FILTER (round_even(o_totalprice * 1.00001, 1) <> round_even(o_totalprice, 1)) AS BIGINT) AS n_values, CAST(COUNT(*) FILTER (round_even(o_totalprice * 1.00001, 1) <> round_even(o_totalprice, 1)) AS BIGINT) AS n_rows FROM orders")
+def cmp_rounded(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return _summary(spark, cmp.compare(o.withColumn("o_totalprice", F.col("o_totalprice") * 1.00001), o, key="o_orderkey", precision=1))
+
+
+@query(f"SELECT CAST(COUNT(*) AS BIGINT) AS n_actual, CAST(COUNT(*) AS BIGINT) AS n_expected, CAST({PRICE_CHANGED} AS BIGINT) AS n_values, CAST({PRICE_CHANGED} AS BIGINT) AS n_rows FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 50 <> 7")
+def cmp_filtered(spark, sf_dir):
+    """Both sides filtered, and one column left out."""
+    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 50 <> 7")
+    return _summary(spark, cmp.compare(_changed(o).drop("o_orderstatus").join(o.select("o_orderkey", "o_orderstatus"), "o_orderkey"), o, key="o_orderkey", condition=F.col("o_orderstatus") == "F", check_order=False, check_data=cmp.all_fields_except(["o_orderpriority"])))
+
+
+@query("SELECT CAST(COUNT(*) AS BIGINT) AS n_actual, CAST(COUNT(*) AS BIGINT) AS n_expected, CAST(COUNT(*) FILTER (l_linenumber = 2) AS BIGINT) AS n_values, CAST(COUNT(*) FILTER (l_linenumber = 2) AS BIGINT) AS n_rows FROM lineitem")
+def cmp_repeated_keys(spark, sf_dir):
+    """Rows that share a key are matched in the order of their other columns."""
+    x = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
+    return _summary(spark, cmp.compare(x.withColumn("l_tax", F.when(F.col("l_linenumber") == 2, F.col("l_tax") + 1).otherwise(F.col("l_tax"))), x, key="l_orderkey"))
+
+
+@query("SELECT 'actual' AS side, 'o_orderkey,o_orderstatus,o_custkey' AS fields UNION ALL SELECT 'expected', 'o_orderkey,o_custkey,o_orderstatus'")
+def cmp_column_order(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    d = cmp.schema_diff(o.select("o_orderkey", "o_orderstatus", "o_custkey"), o.select("o_orderkey", "o_custkey", "o_orderstatus"))
+    return spark.createDataFrame([("actual", ",".join(d.order[0])), ("expected", ",".join(d.order[1]))], "side string, fields string")
+
+
+@query("SELECT p_brand AS value, CAST(COUNT(*) AS BIGINT) AS n FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]$') GROUP BY 1")
+def verify_rex_violations(spark, sf_dir):
+    return violating_values(_t(spark, sf_dir, "part"), "p_brand", ("rex", ["^Brand#[1-3][0-9]$"]))
+
+
+@query(f"SELECT event_type AS value, CAST(COUNT(*) AS BIGINT) AS n FROM {EVENTS} WHERE event_type NOT IN ('view', 'purchase') GROUP BY 1")
+def verify_allowed_violations(spark, sf_dir):
+    return violating_values(_events(spark, sf_dir), "event_type", ("allowed_values", ["view", "purchase"]))
+
+
+@query("SELECT 'o_open' AS field, CAST(COUNT(*) FILTER (lower(o_open) NOT IN ('true', 'false')) > 0 AS BIGINT) AS failures, CAST(COUNT(*) FILTER (lower(o_open) NOT IN ('true', 'false')) = 0 AS BIGINT) AS passes, COUNT(*) FILTER (lower(o_open) NOT IN ('true', 'false')) = 0 AS type FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'True' WHEN 'F' THEN 'false' END AS o_open FROM orders)")
+def verify_type_bool_text(spark, sf_dir):
+    text = F.when(F.col("o_orderstatus") == "O", "True").when(F.col("o_orderstatus") == "F", "false")
+    return _verified(spark, _t(spark, sf_dir, "orders").select(text.alias("o_open")), {"o_open": {"type": "bool"}})
+
+
+@query("SELECT 'big' AS field, MIN(CAST(o_totalprice > 200000 AS INT)) = 1 AS min, MAX(CAST(o_totalprice > 200000 AS INT)) = 1 AS max FROM orders")
+def stat_min_max_bool(spark, sf_dir):
+    return long_form(_t(spark, sf_dir, "orders").select((F.col("o_totalprice") > 200000).alias("big")), {"min": "boolean", "max": "boolean"})
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS field, '\"{k}\"' AS value" for f, k in (("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "string"), ("o_totalprice", "real"), ("o_orderdate", "date"), ("o_orderpriority", "string"))))
+def discover_type(spark, sf_dir):
+    return discover_df(_t(spark, sf_dir, "orders"), kinds=("type",)).to_df(spark).select("field", "value")
+
+
+@query(f"""SELECT 'p_brand' AS field, '["^Brand\\\\#' || {_width("MIN(LENGTH(p_brand)) - 6", "MAX(LENGTH(p_brand)) - 6", "[0-9]")} || '$"]' AS value FROM part""")
+def discover_rex(spark, sf_dir):
+    return discover_df(_t(spark, sf_dir, "part").select("p_brand"), inc_rex=True, kinds=("rex",)).to_df(spark).select("field", "value")
+
+
+@query("SELECT CAST(n AS BIGINT) AS n_row, o_orderkey, CAST(1 AS BIGINT) AS n_failures FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE o_totalprice < 50000")
+def detect_numbered(spark, sf_dir):
+    """Row numbers of a table that a sort has shuffled."""
+    found = detect_df(_t(spark, sf_dir, "orders").orderBy("o_orderkey"), {"fields": {"o_totalprice": {"min": 50000}}}, output_fields=["o_orderkey"], row_number="n_row")
+    return found.detected()
+
+
+@query("SELECT c_custkey, false AS c_name_type_ok, c_acctbal >= 0 AS c_acctbal_min_ok, CAST(1 + (c_acctbal < 0)::INT AS BIGINT) AS n_failures FROM customer")
+def detect_type(spark, sf_dir):
+    return _detected(_t(spark, sf_dir, "customer"), {"c_name": {"type": "int"}, "c_acctbal": {"min": 0.0}}, "c_custkey")
+
+
+@query("SELECT *, c_acctbal >= 0 AS c_acctbal_min_ok, CAST((c_acctbal < 0)::INT AS BIGINT) AS n_failures FROM customer")
+def detect_in_place(spark, sf_dir):
+    return detect_df(_t(spark, sf_dir, "customer"), {"fields": {"c_acctbal": {"min": 0.0}}}, in_place=True).detected()
+
+
+def _as_text(spark, df: DataFrame, kind: str = "csv", **options) -> str:
+    """Path of a delimited copy of ``df`` in the shared folder."""
+    path = f"{new_place(spark)}.{kind}"
+    df.write.csv(path, header=True, **{"quote": '"', "escape": '"', "emptyValue": "", **options})
+    return path
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 0 AS good FROM customer")
+def load_csv_typed(spark, sf_dir):
+    """Types that the values of a delimited file fit."""
+    return load(spark, _as_text(spark, _t(spark, sf_dir, "customer").withColumn("good", F.col("c_acctbal") > 0)))
+
+
+@query("SELECT page_id, html FROM pages WHERE html <> ''")
+def load_csv_quoted(spark, sf_dir):
+    """Fields with quotes, separators and line breaks."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "html").filter("html <> ''")
+    return read_text_table(spark, _as_text(spark, pages), escape='"', nulls=()).select(F.col("page_id").cast("long").alias("page_id"), "html")
+
+
+@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_totalprice AS price FROM orders")
+def load_csvw(spark, sf_dir):
+    """Columns typed and renamed by metadata."""
+    from ..sources.csvw import parse
+
+    said = {"@context": "http://www.w3.org/ns/csvw", "url": "t.psv", "dialect": {"delimiter": "|"}, "tableSchema": {"columns": [{"name": "id", "titles": "o_orderkey", "datatype": "integer"}, {"name": "day", "datatype": {"base": "date", "format": "dd/MM/yyyy"}}, {"name": "status", "null": "P"}, {"name": "price", "datatype": "double"}]}}
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return read_csv_with_metadata(spark, _as_text(spark, o, "psv", sep="|"), parse(said))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS euro, strftime(o_orderdate, '%d/%m') AS none FROM orders")
+def date_convert_columns(spark, sf_dir):
+    """Two columns of dates in different forms, and one that is none."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", *(F.date_format("o_orderdate", p).alias(n) for n, p in (("iso", "yyyy-MM-dd"), ("euro", "dd.MM.yyyy"), ("none", "dd/MM"))))
+    return convert_dates(o)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(l AS VARCHAR) AS l, o_open FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS l, CAST(o_orderkey % 2 AS INT) = 1 AS o_open FROM orders)")
+def repair_types(spark, sf_dir):
+    """Columns cast to what constraints say."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("decimal(20,1)").alias("l"), (F.col("o_orderkey") % 2).cast("int").alias("o_open"))
+    return repaired(o, DatasetConstraints.from_dict({"fields": {"o_orderkey": {"type": "string"}, "l": {"type": "string"}, "o_open": {"type": "bool"}}}))
+
+
+@query("SELECT CAST(l AS BIGINT) AS line, a AS actual, b AS expected FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS l, c_name AS b, CASE WHEN c_custkey % 7 = 2 THEN 'x' || c_name ELSE c_name END AS a FROM customer) WHERE a <> b")
+def text_huge_diff(spark, sf_dir):
+    """Lines that differ in two texts, as tables."""
+    c = _t(spark, sf_dir, "customer")
+    paths = []
+    for text in (F.when(F.col("c_custkey") % 7 == 2, F.concat(F.lit("x"), "c_name")).otherwise(F.col("c_name")), F.col("c_name")):
+        paths.append(new_place(spark))
+        c.orderBy("c_custkey").select(text.alias("value")).write.text(paths[-1])
+    return compare_huge(spark, *paths)
+
+
 #: What the flagship query verifies, one constraint of each kind.
 FLAGSHIP = {
     "l_orderkey": {"type": "int", "min": 0, "sign": "non-negative", "max_nulls": 0}, "l_linenumber": {"type": "int", "min": 1, "max": 7, "sign": "positive"},
