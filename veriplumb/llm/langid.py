@@ -4,27 +4,32 @@ A suffix automaton of labelled text of each language accepts just the substrings
 it: each phrase is the longest match from where the last one ended. A language whose text resembles the document's needs
 few phrases; phrases per letter, the cross-parsing entropy up to a factor, is least for the predicted language.
 
-Automata become one table of moves, in which a letter that ends a phrase leads on from the start state and is marked.
-Many blocks of text are then parsed at once, a letter a step, as array look-ups. Blocks have at most ``BLOCK`` letters; a
-phrase doesn't go on into the next block of its text, in any language.
+Automata of all languages share one table of arcs, as large as the arcs are many. Many blocks of text are then parsed at
+once, a letter a step, as array look-ups; a letter that ends a phrase leads on from the start state. Blocks have at most
+``BLOCK`` letters; a phrase doesn't go on into the next block of its text, in any language.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, small_batches
+from .shared import blocks, small_batches, staged
 
 BLOCK = 512
 UNKNOWN = "und"
-#: Documents taught per language and letters of each; both bound what the driver collects.
-DOCS_PER_LANGUAGE, LETTERS_PER_LANGUAGE = 60, 40_000
-LANGUAGES = 200
+#: Bounds of what is taught: whole documents per language, their characters together, and languages. The model's arrays,
+#: which are broadcast, take some 40 bytes a character.
+DOCS_PER_LANGUAGE, LETTERS_PER_LANGUAGE, LANGUAGES = 60, 40_000, 500
+#: Moves (states x letters) up to which a task lays them out in full, 4 bytes each; it parses twice as fast with them.
+DENSE = 20_000_000
+log = logging.getLogger("veriplumb")
 
 
 def letters_of(text: str) -> str:
@@ -32,6 +37,12 @@ def letters_of(text: str) -> str:
     return "".join(c if c.isalpha() else " " for c in text.lower())
 
 
+@lru_cache(1)
+def _alphabetic() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+
+
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     """Transitions of each state; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
@@ -62,48 +73,121 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Moves:
+    """Transitions of automata by row displacement: an arc of state s and letter c lies at ``base[s] + c``, if ``owner``
+    there is s. The arrays grow with the arcs, whatever the alphabet, and a look-up takes no search."""
+
+    def __init__(self, states: list[dict[int, int]], width: int):
+        arcs = np.fromiter((len(own) for own in states), np.int64, len(states))
+        owner, many = np.repeat(np.arange(len(states)), arcs), int(arcs.sum())
+        letter = np.fromiter((c for own in states for c in own), np.int64, many)
+        target = np.fromiter((to for own in states for to in own.values()), np.int64, many)
+        base = np.zeros(len(states), np.int64)
+        used, low = bytearray(4 * len(states) + 2 * width), 0
+        for s in np.argsort(-arcs, kind="stable")[: int((arcs > 1).sum())].tolist():
+            letters = sorted(states[s])
+            at, tried = max(0, low - letters[0]), 0
+            while any(used[at + c] for c in letters):
+                at, tried = at + 1, tried + 1
+                if at + width >= len(used):
+                    used.extend(bytes(len(used)))
+            if tried > 16:  # dense enough here: single arcs fill the gaps
+                low += tried // 2
+            base[s] = at
+            for c in letters:
+                used[at + c] = 1
+        single = np.flatnonzero(arcs == 1)
+        used.extend(bytes(len(single) + width))
+        free = width + np.flatnonzero(np.frombuffer(used, np.uint8)[width:] == 0)[: len(single)]
+        base[single] = free - letter[(np.cumsum(arcs) - arcs)[single]]
+        self.base, at = base, base[owner] + letter
+        self.arcs = np.full(max(int(at.max(initial=0)), int(base.max(initial=0))) + width + 1, -1, np.int64)  # owner, then target
+        self.arcs[at] = owner << 32 | target
+
+    def go(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state goes by its letter, and whether it does."""
+        at = self.base.take(state)
+        at += letter
+        arc = self.arcs.take(at)
+        on = arc >> 32 == state
+        arc &= 0xFFFFFFFF
+        return arc, on
+
+    def dense(self, width: int, starts: list[int], ends: list[int]) -> np.ndarray:
+        """All moves as one array, states x letters; a letter that begins a phrase is marked by the sign."""
+        at = np.flatnonzero(self.arcs >= 0)
+        owner, target = self.arcs[at] >> 32, (self.arcs[at] & 0xFFFFFFFF).astype(np.int32)
+        letter = at - self.base[owner]
+        table = np.empty((len(self.base), width), np.int32)
+        for start, end in zip(starts, ends, strict=True):
+            row = np.full(width, end, np.int32)
+            own = owner == start
+            row[letter[own]] = target[own]
+            table[start : end + 1] = -row - 1
+        table[owner, letter] = target
+        return table.ravel()
+
+
 class Model:
-    """Move tables of all languages. ``alphabet``: code point -> column; column 0 is any other letter, 1 the blank."""
+    """Automata of all languages. ``alphabet``: code point -> letter; letter 0 is any other, 1 the blank."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         texts = [" ".join(letters_of(samples[k]).split()) for k in self.languages]
-        self.alphabet = np.zeros(0x110000, np.uint16)
-        self.letters = np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+        self.alphabet = np.zeros(0x110000, np.int32)
+        self.letters = _alphabetic()
         chars = sorted(set("".join(texts)) - {" "})
         for i, c in enumerate(chars):
             self.alphabet[ord(c)] = i + 2
         self.alphabet[32] = 1
-        self.width = len(chars) + 2
-        tables, self.roots, base = [], [], 0
+        states: list[dict[int, int]] = []
+        self.starts, self.ends = [], []  # of a language: its start state, and a state that no letter leads on from
         for t in texts:
-            moves = suffix_automaton(self.alphabet[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist())
-            root = np.full(self.width, len(moves), np.int32)  # no phrase goes on from a letter that the language lacks
-            for c, to in moves[0].items():
-                root[c] = to
-            table = np.tile(-(root + base) - 1, (len(moves) + 1, 1))  # a phrase begins with the letter: marked by the sign
-            for s, own in enumerate(moves):
-                for c, to in own.items():
-                    table[s, c] = to + base
-            tables.append(table)
-            self.roots.append(base + len(moves))
-            base += len(moves) + 1
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+            moves, first = suffix_automaton(self.alphabet[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist()), len(states)
+            states += [{c: to + first for c, to in own.items()} for own in moves]
+            states.append({})
+            self.starts.append(first)
+            self.ends.append(len(states) - 1)
+        self.width = len(chars) + 2
+        self.moves, self.table = Moves(states, self.width), None
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}  # only the arcs are sent
+
+    def _tabled(self) -> np.ndarray | None:
+        if self.table is None and len(self.moves.base) * self.width <= DENSE:
+            self.table = self.moves.dense(self.width, self.starts, self.ends)
+        return self.table
 
     def phrases(self, codes: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Phrases of each block and language. ``codes``: letters x blocks, blocks by falling length; ``used``: lengths."""
         n = codes.shape[1]
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], n, axis=1)
-        count = np.zeros((len(self.roots), n), np.int32)
+        starts, ends = np.array(self.starts, np.intp), np.array(self.ends, np.intp)
+        state = np.repeat(ends[:, None], n, axis=1)
+        count = np.zeros((len(starts), n), np.int32)
         alive = np.searchsorted(-used, -np.arange(codes.shape[0]), "left")
+        k, table = n, self._tabled()
         for t in range(codes.shape[0]):
-            k = int(alive[t])
-            if not k:
-                break
-            to = self.table[state[:, :k] * self.width + codes[t, :k]]
-            fresh = to < 0
-            count[:, :k] += fresh
-            state[:, :k] = np.where(fresh, -1 - to, to)
+            if int(alive[t]) < k:
+                k = int(alive[t])
+                if not k:
+                    break
+                state = np.ascontiguousarray(state[:, :k])
+            if table is not None:
+                state *= self.width
+                state += codes[t, :k]
+                to = table.take(state)
+                fresh = to < 0
+                count[:, :k] += fresh
+                state = np.where(fresh, -1 - to, to).astype(np.intp)
+                continue
+            to, on = self.moves.go(state, codes[t, :k])
+            miss = np.flatnonzero(~on)  # a phrase ends before this letter, which begins the next
+            language, block = np.divmod(miss, k)
+            fresh, known = self.moves.go(starts[language], codes[t].take(block))
+            to.put(miss, np.where(known, fresh, ends[language]))
+            count[language, block] += 1
+            state = to
         return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -115,7 +199,7 @@ class Model:
         doc = np.repeat(np.arange(len(lower)), sizes)
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]  # one blank after each run of letters
-        codes = np.where(is_letter, self.alphabet[points], 1)[keep].astype(np.int64)
+        codes = np.where(is_letter, self.alphabet[points], 1)[keep].astype(np.intp)
         n_letters = np.bincount(doc[is_letter], minlength=len(lower))
         length = np.bincount(doc[keep], minlength=len(lower))
         if not self.languages or not len(codes):
@@ -128,8 +212,8 @@ class Model:
         used = np.minimum(BLOCK, length[owner] - nth * BLOCK)
         order = np.argsort(-used, kind="stable")
         at, used, owner = at[order], used[order], owner[order]
-        total = np.zeros((len(self.roots), len(lower)), np.int64)
-        padded = np.append(codes, np.zeros(BLOCK, np.int64))
+        total = np.zeros((len(self.languages), len(lower)), np.int64)
+        padded = np.append(codes, np.zeros(BLOCK, np.intp))
         for a in range(0, len(at), 4096):
             own = slice(a, a + 4096)
             matrix = padded[at[None, own] + np.arange(int(used[a]))[:, None]]
@@ -147,29 +231,40 @@ class Model:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), n_letters.tolist(), strict=True)], score.tolist()
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 11, docs_per_language: int = DOCS_PER_LANGUAGE, letters: int = LETTERS_PER_LANGUAGE) -> Model:
-    """A model from the rows of ``docs`` with text and language.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 11, docs_per_language: int = DOCS_PER_LANGUAGE, letters: int = LETTERS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """A model from a bounded sample of the rows of ``docs`` with text and language.
 
-    Of each language it takes the ``docs_per_language`` different texts of least seeded hash, and from the
-    middle of each an equal share of ``letters`` characters; of at most the ``LANGUAGES`` languages with the most
-    rows. Both bounds keep what comes to the driver small. Without labelled rows the model knows no language.
+    Of each language it takes ``docs_per_language`` different texts of at most ``letters`` characters, those of least
+    seeded hash, and of these, in that order, the whole texts that fit in ``letters`` together. A language that has only
+    longer texts is taught by its shortest one, whole. Of more than ``languages`` values of the column those with the
+    most rows are taught, and a warning is logged; ties go by name. Without labelled rows the model knows no language.
     """
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang is not null and text rlike '\\\\p{L}'")
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "text"))
-    drawn = rows.select("lang", "draw").distinct().withColumn("part", F.pmod("draw", F.lit(64)))
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "text")).withColumn("size", F.char_length("text"))
+    sizes = staged(rows.select("lang", "draw", "size").distinct())
+    taught = sizes.groupBy("lang").agg(F.count("*").alias("n"), F.min("size").alias("least")).orderBy(F.desc("n"), "lang").limit(languages + 1).collect()
+    if len(taught) > languages:
+        log.warning("more than %d languages; those with the fewest texts are not taught", languages)
+    taught = taught[:languages]
+    if not taught:
+        return Model({})
+    limit = {r["lang"]: max(letters, r["least"]) for r in taught}
+    limits = docs.sparkSession.createDataFrame(list(limit.items()), "lang string, most long")  # at most ``languages`` rows
+    drawn = sizes.join(F.broadcast(limits), "lang").filter(F.col("size") <= F.col("most")).withColumn("part", F.pmod("draw", F.lit(64)))
     for group in (["lang", "part"], ["lang"]):  # a language of most rows is cut down in parts first
         rank = F.row_number().over(Window.partitionBy(*group).orderBy("draw"))
         drawn = drawn.withColumn("rank", rank).filter(F.col("rank") <= docs_per_language)
-    drawn = drawn.collect()
-    size = letters // docs_per_language
-    middle = F.expr(f"substring(text, greatest(1, cast((char_length(text) - {size}) / 2 as int)), {size})")
-    chosen = sorted({r["draw"] for r in drawn})
-    first = rows.filter(F.col("draw").isin(chosen)).groupBy("lang", "draw").agg(F.min(middle).alias("piece")) if chosen else rows.select("lang", "draw", F.col("text").alias("piece")).limit(0)
+    room, chosen = dict(limit), set()
+    for r in sorted(drawn.select("lang", "draw", "size").collect()):  # at most docs_per_language rows a language
+        if r["size"] <= room[r["lang"]]:
+            room[r["lang"]] -= r["size"]
+            chosen.add((r["lang"], r["draw"]))
+    wanted = docs.sparkSession.createDataFrame(sorted(chosen), "lang string, draw long")
+    texts = rows.join(F.broadcast(wanted), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     samples: dict[str, list] = {}
-    for r in first.collect():  # at most docs_per_language pieces a language
-        samples.setdefault(r["lang"], []).append((r["draw"], r["piece"]))
-    most = sorted(samples, key=lambda k: (-len(samples[k]), k))[:LANGUAGES]
-    return Model({k: " ".join(p for _, p in sorted(samples[k])) for k in most})
+    for r in texts.collect():
+        samples.setdefault(r["lang"], []).append((r["draw"], r["text"]))
+    return Model({k: " ".join(p for _, p in sorted(x)) for k, x in samples.items()})
 
 
 def predictor(model_of):
