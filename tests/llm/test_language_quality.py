@@ -136,3 +136,78 @@ def test_shrinkage_of_sparse_sites(spark):
     assert rate["p1"]["path_rate"] > 0.9 > 0.1 > rate["p2"]["path_rate"]
     good = 1 / (1 + np.exp(3.0))
     assert good < rate["p3"]["path_rate"] < rate["p3"]["host_rate"]
+
+
+def test_parse_of_whole_documents_against_search(spark, monkeypatch):
+    """The model that a fit gives, on whole documents, against longest matches in what it was taught; with and without
+    moves laid out in full."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held, samples = [], {}
+    own = langid.Model
+    monkeypatch.setattr(langid, "Model", lambda taught: samples.update(taught) or own(taught))
+    model = langid.fit(docs, docs_per_language=6, letters=3000)
+    texts = [r["text"] for r in docs.sort("doc_id").collect() if 0 < len(r["text"] or "") < 3000][:25]
+    for dense in (langid.DENSE, 0):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        model.table = None
+        for text, said, score in zip(texts, *model.predict(texts), strict=True):
+            counts = {k: plain_phrases(text, v) for k, v in samples.items()}
+            ranked = sorted(counts.values())
+            held.append(said)
+            assert said == min(sorted(counts), key=counts.get) and abs(score - (1 - ranked[0] / ranked[1])) < 1e-9
+    assert held[:25] == held[25:] and all(len(v) <= 3000 + 60 for v in samples.values())
+    whole = {r["text"] for r in docs.collect()}
+    assert all(any(t and t in v for t in whole) for v in samples.values())
+
+
+def test_model_grows_with_arcs_not_alphabets():
+    rng = np.random.default_rng(0)
+    wide = "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 2800, 12_000))
+    model = langid.Model({"zh": wide, "en": "the cat sat on the mat " * 200, "none": ""})
+    import pickle
+
+    assert len(pickle.dumps(model.moves)) < 60 * 12_000 and model.predict([wide[500:900], "cat on the mat"])[0] == ["zh", "en"]
+
+
+def test_languages_of_most_rows_are_taught(spark, caplog):
+    rows = [(i, f"{w} text number {w} {i}", w) for w, n in (("zz", 40), ("mm", 20), ("aa", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, languages=2).languages == ["mm", "zz"] and "fewest" in caplog.text
+    long = spark.createDataFrame([(1, "only long " * 500, "xx"), (2, "even longer " * 900, "xx")], "doc_id long, text string, lang string")
+    assert langid.fit(long, letters=100).predict(["only long"])[0] == ["xx"]
+
+
+def test_rates_of_simulated_sites(spark):
+    """True rates of 0.5 and 0.9 from weak evidence; sparse hosts lie between their own rate and the global one."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for h in range(20):
+        good = rng.random(2000) < (0.5 if h % 2 else 0.9)
+        for i, e in enumerate(rng.normal(np.where(good, 0.75, -0.75), 1.2247).tolist()):
+            rows.append((f"h{h}", f"h{h}p{i % 2}", e))
+    rows += [("few", "few1", -2.0)]
+    got = {r["path_key"]: r for r in quality.site_rates(spark.createDataFrame(rows, "host_key string, path_key string, evidence double")).collect()}
+    for h in range(20):
+        assert abs(got[f"h{h}p0"]["host_rate"] - (0.5 if h % 2 else 0.9)) < 0.06 and abs(got[f"h{h}p0"]["path_rate"] - (0.5 if h % 2 else 0.9)) < 0.08
+    assert abs(np.mean([got[f"h{h}p0"]["host_rate"] for h in range(0, 20, 2)]) - 0.9) < 0.02 and abs(np.mean([got[f"h{h}p0"]["host_rate"] for h in range(1, 20, 2)]) - 0.5) < 0.02
+    assert 0.5 < got["few1"]["path_rate"] < 0.75
+
+
+def test_sites_decide_where_texts_do_not(spark):
+    """Texts alike everywhere; labels say that one host is good and one bad: unlabelled documents follow their host."""
+    rows, labels = [], []
+    for i in range(400):
+        host = "ab"[i % 2]
+        rows.append((i, f"some plain words of no great note {i % 7}", host, "en"))
+        if i < 200:
+            labels.append((i, int(host == "a") if i % 20 > 1 else int(host == "b")))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(df, spark.createDataFrame(labels, "id long, good int")).collect()}
+    assert all(got[i]["kept"] == (i % 2 == 0) for i in range(200, 400))
+    assert sum(got[i]["kept"] != (got[i]["evidence"] >= 0) for i in range(200, 400)) >= 90
+
+
+def test_no_path_and_no_evidence(spark):
+    scored = spark.createDataFrame([("h", "p", None), ("h", "q", 1.0)], "host_key string, path_key string, evidence double")
+    rates = {r["path_key"]: r for r in quality.site_rates(scored).collect()}
+    assert rates["p"]["path_rate"] < rates["q"]["path_rate"] and quality.site_rates(scored.limit(0)).count() == 0

@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
-from veriplumb.llm import quality
 
 from .cases import SF
 from .test_neardup import brute
@@ -29,35 +28,67 @@ def plain_features(text):
     return [math.sqrt(symbols / n), math.sqrt(sum(65 <= b < 91 for b in raw) / n), math.sqrt(sum(48 <= b < 58 for b in raw) / n), math.sqrt(repeats / w), math.log(max(letters, 1) / w), math.log(w)], len(words)
 
 
+def plain_logistic(x, y):
+    """Log-odds of good as a function of features: ridge of 1 on standardised features and the squares of their positive parts."""
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+
+    def design(f):
+        z = (np.atleast_2d(f) - centre) / scale
+        return np.hstack([np.ones((len(z), 1)), z, np.maximum(z, 0) ** 2])
+
+    z, w = design(x), np.zeros(1 + 2 * x.shape[1])
+    pull = np.diag([1e-6] + [1.0] * (len(w) - 1))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w = w + np.linalg.solve((z.T * (p * (1 - p))) @ z + pull, z.T @ (y - p) - pull @ w)
+    return lambda f: float(np.clip(design(f) @ w, -30, 30)[0])
+
+
+def beta_weights(strength, mean, grid):
+    """A beta distribution on the grid, in log-odds."""
+    log = [strength * (mean * math.log(t) + (1 - mean) * math.log(1 - t)) for t in grid]
+    w = [math.exp(x - max(log)) for x in log]
+    return np.array(w) / sum(w)
+
+
 def plain_quality(docs, labels):
-    """Kept rows: evidence, then rates of hosts and paths, by dictionaries."""
+    """Kept ids: evidence, then rates of hosts and paths summed over every rate and strength, by loops."""
     said = {}
     for r in labels:
         said[r["doc_id"]] = min(said.get(r["doc_id"], 1), r["quality"])
     got = [(plain_features(r["text"])[0], said[r["doc_id"]]) for r in docs if r["doc_id"] in said]
-    model = quality.logistic(np.array([f for f, _ in got]), np.array([y for _, y in got], float))
-    evidence = [float(model.evidence(np.array([f]))[0]) if n else None for f, n in (plain_features(r["text"]) for r in docs)]
-    paths, hosts = defaultdict(lambda: [0.0, 0]), defaultdict(lambda: [0.0, 0])
-    for r, e in zip(docs, evidence, strict=True):
-        for group, key in ((paths, (r["source"], r["lang"])), (hosts, r["source"])):
-            if e is not None:
-                group[key][0] += 1 / (1 + math.exp(-e))
-                group[key][1] += 1
-
-    def pull(groups):
-        n = sum(k for _, k in groups.values())
-        p = min(max(sum(g for g, _ in groups.values()) / n, 1e-6), 1 - 1e-6)
-        between = sum(k * (g / k - p) ** 2 for g, k in groups.values()) / n - p * (1 - p) * len(groups) / n
-        return min(1e6, max(1.0, p * (1 - p) / between - 1)) if between > 0 else 1e6
-
-    prior = (sum(g for g, _ in hosts.values()) + 1) / (sum(k for _, k in hosts.values()) + 2)
-    a, b = pull(hosts), pull(paths)
+    y = np.array([y for _, y in got], float)
+    model, offset = plain_logistic(np.array([f for f, _ in got]), y), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    ratio = [math.exp(model(f) - offset) if n else None for f, n in (plain_features(r["text"]) for r in docs)]
+    grid = [1 / (1 + math.exp(-6 + 12 * i / 64)) for i in range(65)][::-1]
+    at_site = lambda r, k: None if k is None else {1: math.exp(30), 0: math.exp(-30)}.get(said.get(r["doc_id"]), k)
+    paths = defaultdict(lambda: np.zeros(65))
+    for r, k in zip(docs, ratio, strict=True):
+        own = at_site(r, k)
+        paths[r["source"], r["lang"]] += np.array([math.log(t * own + 1 - t) if own is not None else 0.0 for t in grid])
+    best = None
+    for below in (2, 8, 32, 128, 512):
+        spread = [beta_weights(below, t, grid) for t in grid]
+        hosts = defaultdict(lambda: np.zeros(65))
+        raised = {}
+        for (host, lang), like in paths.items():
+            raised[host, lang] = np.array([math.log(float(w @ np.exp(like - like.max()))) + like.max() for w in spread])
+            hosts[host] += raised[host, lang]
+        for above in (2, 8, 32, 128, 512):
+            for j, t in enumerate(grid):
+                w = beta_weights(above, t, grid)
+                total = sum(math.log(max(float(w @ np.exp(h - h.max())), 1e-300)) + h.max() for h in hosts.values())
+                if best is None or (total, below, above, j) > best[:4] and total > best[0] - 1e-9:
+                    best = (total, below, above, j, hosts, raised, spread, w)
+    *_, hosts, raised, spread, top = best
     out = set()
-    for r, e in zip(docs, evidence, strict=True):
-        if e is not None:
-            host = (hosts[r["source"]][0] + a * prior) / (hosts[r["source"]][1] + a)
-            rate = (paths[r["source"], r["lang"]][0] + b * host) / (paths[r["source"], r["lang"]][1] + b)
-            if e - math.log(prior / (1 - prior)) + math.log(rate / (1 - rate)) >= 0:
+    for r, k in zip(docs, ratio, strict=True):
+        if k is not None:
+            key = (r["source"], r["lang"])
+            host = np.log(np.maximum(top, 1e-300)) + hosts[key[0]] - raised[key]
+            host = np.exp(host - host.max())
+            rates = sum(h * w for h, w in zip(host, spread, strict=True)) * np.exp(paths[key] - paths[key].max())
+            if sum(w * t * k / (t * k + 1 - t) for w, t in zip(rates / rates.sum(), grid, strict=True)) >= 0.5:
                 out.add(r["doc_id"])
     return out
 
