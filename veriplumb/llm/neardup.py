@@ -32,6 +32,8 @@ COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
 #: Members of a posting, or of a cluster, that are compared with one another at a time in the second pass.
 SIDE = 1024
+#: Shingles of a cluster's members that a task holds on either side, on average; a larger set is alone there.
+SHINGLES = 2_000_000
 #: Rows of three numbers that are broadcast, at most (about 10 MB); beyond, texts are shuffled to them.
 NARROW = 400_000
 _FACTOR = scramble(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -174,9 +176,11 @@ def _settle(words: int, percent: int):
     return settle
 
 
-def _sides(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Staged ``rows`` with ``low, high``: groups of more than ``SIDE`` rows are cut, and each two cuts meet once."""
-    large = rows.groupBy(*group).agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides")).filter("sides > 1")
+def _sides(rows: DataFrame, group: list[str], size: str | None = None) -> DataFrame:
+    """Staged ``rows`` with ``low, high``: groups of more than ``SIDE`` rows, or ``SHINGLES`` of the column ``size``, are
+    cut, and each two cuts meet once."""
+    sides = F.count("*") / SIDE if size is None else F.greatest(F.count("*") / SIDE, F.sum(size) / SHINGLES)
+    large = rows.groupBy(*group).agg(F.ceil(sides).cast("int").alias("sides")).filter("sides > 1")
     cut = rows.join(small_side(large), group, "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
     cut = cut.withColumn("side", F.pmod(F.xxhash64(F.lit(17), "node"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     return cut.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("side", "other", "sides")
@@ -207,13 +211,27 @@ def _candidates(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
     return staged(pairs.join(a, "u").join(b, "v").filter(equal >= matches).select("u", "v"))
 
 
+def _classes(sets: DataFrame) -> DataFrame:
+    """One row a digest of a set; where its sets differ in size or signature, so do ``check_least`` and ``check_most``."""
+    check = F.xxhash64("n_shingles", "sig")
+    grouped = sets.filter("node is not null").groupBy("node")
+    return staged(grouped.agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("sig").alias("sig"), F.count("*").alias("copies"),
+        F.max("n_shingles").alias("n_shingles"), F.min(check).alias("check_least"), F.max(check).alias("check_most"),
+    ))
+
+
 def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_hash, n_shingles, node`` of each row, and ``node, root, component_id`` of nodes with copies or links."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = staged(texts.mapInArrow(_sets(words), "doc_id long, text_hash long, n_shingles long, node long, sig array<int>"))
-    grouped = sets.filter("node is not null").groupBy("node")
-    classes = staged(grouped.agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("sig").alias("sig"), F.count("*").alias("copies")))
+    classes = _classes(sets)
+    clashing = classes.filter("check_least <> check_most").select("node")
+    if not clashing.isEmpty():  # sets of one digest that aren't equal: of 10^10 sets, two or three
+        marked = sets.join(small_side(clashing).withColumn("clash", F.lit(True)), "node", "left")
+        sets = staged(marked.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "n_shingles", "sig")).otherwise(F.col("node"))).drop("clash"))
+        classes = _classes(sets)
     sigs = classes.select("node", "sig")
     posted = sigs.select("node", F.posexplode("sig").alias("coordinate", "value"))
     # staged, so that the join has two plain sides and Spark can split a hot posting
@@ -239,7 +257,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     trees = trees.withColumnRenamed("root", "cluster")
     if not trees.isEmpty():
         parts = trees.join(small_side(joined), "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("comp"))
-        parts = _sides(staged(parts), ["cluster"]).join(_texts_of(trees.select("node"), texts, classes), "node")
+        parts = parts.join(classes.select("node", "n_shingles"), "node")
+        parts = _sides(staged(parts), ["cluster"], "n_shingles").join(_texts_of(trees.select("node"), texts, classes), "node")
         more = parts.select("cluster", "low", "high", "node", "comp", "text").groupBy("cluster", "low", "high").applyInArrow(_settle(words, percent), "u long, v long")
         joined = components(first.unionByName(staged(more)))
     # classes that have copies or links get their component's least id
@@ -263,15 +282,27 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def distinct(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def distinct(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
     """Rows of ``docs`` that are kept: of each component the least id, null last, and of texts that share it one.
 
     A row is known by id and text: rows that repeat both stay or go together, and a text whose id another text has too
-    stays if its own component has none before it. Only ids and hashes of texts that go are joined to the texts.
+    stays if its own component has none before it. Without ``repeats``, one of the rows that repeat id and text stays,
+    that of the least hash of all its columns; texts without words are not near-duplicates, but repeat like others.
+    Only ids and hashes of texts that go are joined to the texts, and only rows that repeat are shuffled.
     """
     sets, final = _grouped(docs, words, percent, id_col, text_col)
     rows = staged(sets.join(final.select("node", "root"), "node").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("own")).distinct())
     first = rows.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = rows.join(first, "root").filter("own <> first").select(F.col("own.doc_id").alias("__id"), F.col("own.text_hash").alias("__hash"))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__hash"))
-    return docs.join(small_side(gone, 200_000), same, "left_anti")
+    kept = docs.join(small_side(gone, 200_000), same, "left_anti")
+    if repeats:
+        return kept
+    again = staged(sets.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if again.isEmpty():
+        return kept
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alike = kept.join(small_side(again, 200_000), same).select(F.struct(*columns).alias("__row"), "__id", "__hash")
+    one = alike.groupBy("__id", "__hash").agg(F.min_by("__row", F.xxhash64(*(F.col(f"__row.`{c}`") for c in docs.columns))).alias("__row"))
+    return kept.join(small_side(again, 200_000), same, "left_anti").unionByName(one.select("__row.*"))
