@@ -5,10 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from .cases import SF
+from .cases import SF, clashing, documents, empty
 from .test_neardup import brute
 from .test_packing import check
 from .test_sharding_mixing import plain_targets
@@ -52,7 +53,7 @@ def beta_weights(strength, mean, grid):
 
 
 def plain_quality(docs, labels):
-    """Kept ids: evidence, then rates of hosts and paths summed over every rate and strength, by loops."""
+    """Places of kept rows: evidence, then rates of hosts and paths summed over every rate and strength, by loops."""
     said = {}
     for r in labels:
         said[r["doc_id"]] = min(said.get(r["doc_id"], 1), r["quality"])
@@ -81,15 +82,15 @@ def plain_quality(docs, labels):
                 if best is None or (total, below, above, j) > best[:4] and total > best[0] - 1e-9:
                     best = (total, below, above, j, hosts, raised, spread, w)
     *_, hosts, raised, spread, top = best
-    out = set()
-    for r, k in zip(docs, ratio, strict=True):
+    out = []
+    for i, (r, k) in enumerate(zip(docs, ratio, strict=True)):
         if k is not None:
             key = (r["source"], r["lang"])
             host = np.log(np.maximum(top, 1e-300)) + hosts[key[0]] - raised[key]
             host = np.exp(host - host.max())
             rates = sum(h * w for h, w in zip(host, spread, strict=True)) * np.exp(paths[key] - paths[key].max())
             if sum(w * t * k / (t * k + 1 - t) for w, t in zip(rates / rates.sum(), grid, strict=True)) >= 0.5:
-                out.add(r["doc_id"])
+                out.append(i)
     return out
 
 
@@ -99,7 +100,8 @@ def test_stages_against_plain_versions(spark):
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
 
     kept = corpus_pipeline.staged(stages["quality"](spark, docs, SF))
-    assert ids(kept) == plain_quality(docs.collect(), spark.read.parquet(f"{SF}/labels.parquet").collect())
+    every = docs.collect()
+    assert ids(kept) == {every[i]["doc_id"] for i in plain_quality(every, spark.read.parquet(f"{SF}/labels.parquet").collect())}
     assert sorted(map(tuple, kept.select(docs.columns).collect())) == sorted(tuple(r) for r in docs.collect() if r["doc_id"] in ids(kept))
 
     spoken = corpus_pipeline.staged(stages["language"](spark, kept, SF))
@@ -126,3 +128,59 @@ def test_stages_against_plain_versions(spark):
     whole = corpus_pipeline.run(spark, SF).collect()
     key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, packed))
+
+
+def test_exact_rows_of_cases(spark):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns through every stage."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = corpus_pipeline.staged(clashing(documents(spark)))
+    rows = lambda df: Counter(tuple(r) for r in df.select(docs.columns).collect())
+
+    every = docs.collect()
+    kept = corpus_pipeline.staged(stages["quality"](spark, docs, SF))
+    want = plain_quality(every, spark.read.parquet(f"{SF}/labels.parquet").collect())
+    assert kept.columns == docs.columns and rows(kept) == Counter(tuple(every[i]) for i in want)
+
+    spoken = corpus_pipeline.staged(stages["language"](spark, docs, SF))
+    lettered = [r for r in every if any(c.isalpha() for c in r["text"] or "")]
+    bare = lambda r: tuple(v for c, v in r.asDict().items() if c != "lang")
+    got = spoken.select(docs.columns).collect()
+    assert spoken.columns == docs.columns and Counter(map(bare, got)) == Counter(map(bare, lettered))
+    assert all(r["lang"] in ("en", "de", "fr") for r in got) and {r["doc_id"] for r in got if r["lang"] == "de"} >= {8, 9}
+
+    single = corpus_pipeline.staged(stages["near_duplicates"](spark, docs, SF))
+    gone = [(2, "the quick"), (7, "one"), (9, "word0")]
+    left = Counter(tuple(r) for r in every if not any(r["doc_id"] == i and (r["text"] or "").startswith(t) for i, t in gone))
+    assert single.columns == docs.columns and rows(single) == Counter(list(left)) and sum(left.values()) == sum(Counter(list(left)).values()) + 1
+
+    mix = corpus_pipeline.staged(stages["mixing"](spark, docs, SF))
+    sizes, taken = Counter(), Counter()
+    for r in every:
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    for r in mix.collect():
+        taken[r["source"]] += len(WORD.findall(r["text"] or ""))
+    assert mix.columns == docs.columns and all(abs(taken[s] - t) <= 1 for s, t in plain_targets(sizes).items())
+    assert check(stages["packing"](spark, docs, SF).collect(), every) >= 0
+
+
+def test_stages_of_nothing(spark):
+    docs = clashing(empty(spark))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and out.columns == docs.columns, name
+    assert corpus_pipeline.packed(spark, docs, SF).count() == 0
+
+
+def test_near_duplicates_keep_one_row_and_lose_no_text(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "some other words that nobody else has said"
+    rows = [(1, a), (2, a), (2, b), (6, c), (6, c), (6, c), (None, a), (None, None), (None, None), (3, ""), (3, "")]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __row string, nth int")
+    for docs in (df, df.withColumn("nth", F.lit(1))):
+        kept = corpus_pipeline.distinct(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (2, b), (6, c), (None, None), (3, "")])
+
+
+def test_untaught_language_rejects_nothing(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.in_a_language(spark, docs, SF).count() == docs.count()
