@@ -139,3 +139,65 @@ def test_files(spark, tmp_path):
     assert sum(f["records"] for f in files) == pages.count() and all(gzip.open(f["path"]).read(8) == b"WARC/1.1" for f in files)
     rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in warc.read_files(spark, folder, payloads=False).collect()), key=repr) == expected(rows)
+
+
+def member(version, kind, headers, block):
+    """A record written by hand, as crawlers write them."""
+    head = [f"WARC/{version}", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}", "", ""]
+    return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n")
+
+
+def sha1(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_standard_records(spark, tmp_path):
+    body = "<p>über</p>".encode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\n" + body[:4] + b"\r\n" + f"{len(body) - 4:x};x=1\r\n".encode() + body[4:] + b"\r\n0\r\n\r\n"
+    ids = [f"<urn:uuid:00000000-0000-0000-0000-00000000000{i}>" for i in range(7)]
+    date = ("WARC-Date", "2020-01-02T03:04:05Z")
+    records = [
+        member("1.0", "warcinfo", [("WARC-Record-ID", ids[0]), date, ("Content-Type", "application/warc-fields")], b"software: x\r\n"),
+        member("1.0", "request", [("WARC-Record-ID", ids[1]), date, ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        member("1.0", "response", [("WARC-Record-ID", ids[2]), date, ("WARC-Target-URI", "http://a/"), ("Content-Type", "application/http;"), (" msgtype", "response"), ("WARC-Payload-Digest", sha1(body)), ("WARC-Block-Digest", sha1(http))], http),
+        member("1.1", "response", [("WARC-Record-ID", ids[3]), date, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(body).hexdigest())], chunked),
+        member("1.1", "revisit", [("WARC-Record-ID", ids[4]), date, ("WARC-Refers-To", ids[2]), ("WARC-Payload-Digest", sha1(body)), ("WARC-Profile", warc.IDENTICAL), ("Content-Type", "application/http")], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        member("1.1", "resource", [("WARC-Record-ID", ids[5]), date, ("Content-Type", "text/plain"), ("WARC-Payload-Digest", "blake3:zz")], b"plain"),
+        member("1.1", "metadata", [("WARC-Record-ID", ids[6]), date], b""),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    rows = {r["record_id"]: r for r in warc.read_files(spark, tmp_path.as_uri()).collect()}
+    assert [rows[i]["record_type"] for i in ids] == ["warcinfo", "request", "response", "response", "revisit", "resource", "metadata"]
+    assert all(r["page_id"] is None and r["date"] == "2020-01-02T03:04:05Z" for r in rows.values())
+    for i in ids[2:4]:
+        assert (bytes(rows[i]["payload"]), rows[i]["payload_bytes"], rows[i]["payload_digest"]) == (body, len(body), sha1(body)[5:])
+    assert (rows[ids[4]]["refers_to_id"], rows[ids[4]]["payload_bytes"], rows[ids[4]]["payload_digest"]) == (ids[2], None, sha1(body)[5:])
+    assert rows[ids[2]]["url"] == "http://a/" and rows[ids[5]]["payload_bytes"] == 5 and rows[ids[6]]["payload_bytes"] == 0
+    for bad in ([("Content-Type", "application/http"), ("WARC-Payload-Digest", sha1(b"other"))], [("WARC-Block-Digest", sha1(b"other"))]):
+        with pytest.raises(ValueError):
+            list(warc.read_records(member("1.0", "response", bad, http)))
+    with pytest.raises(ValueError):
+        list(warc.read_records(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n\r\n\r\n")))
+
+
+def test_own_records_are_standard(spark):
+    pages = spark.createDataFrame([(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (None, "u", "y"), (None, "u", "y")], "page_id long, url string, html string")
+    records = [r for a in warc.to_archives(pages).collect() for r in warc.read_records(bytes(a["archive"]))]
+    assert len(records) == 4 and all({"warc-record-id", "warc-date", "content-type", "content-length"} <= set(h) for _, h, _ in records)
+    for kind, h, block in records:
+        assert kind == "revisit" and h["warc-profile"] == warc.IDENTICAL and block == b"" or warc.payload_of(h, block)[0] in (b"<p>x</p>", b"y") and block.startswith(b"HTTP/1.1 200 OK\r\n")
+    assert sum("urn:uuid:" in h["warc-record-id"] for _, h, _ in records) == 2
+
+
+def test_clashing_columns_and_long_urls(spark):
+    from .cases import clashing
+
+    long = "http://" + "a" * 300 + ".com/" + "/".join(f"seg{i}" for i in range(5000))
+    rows = [(1, long, "x"), (2, "http://com/en/" + "z" * 100_000, None), (2, None, ""), (None, "", "x")]
+    plain_pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for pages in (plain_pages, clashing(plain_pages).selectExpr("*", "1 as host", "2 as path", "3 as rule", "4 as verdict", "5 as tokens", "6 as fit", "7 as sha", "8 as refers_to", "9 as archive")):
+        found = urlfilter.judge(pages, URL_RULES, spark.createDataFrame([(1, True), (2, False)], "page_id long, bad boolean")).collect()
+        assert sorted(((r["page_id"], r["host"], r["path"], r["rule"]) for r in found), key=repr) == sorted(((i, plain(u)[0], plain(u)[1], plain(u)[2] and plain(u)[2][0]) for i, u, _ in rows), key=repr)
+        assert sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=repr) == expected(rows)

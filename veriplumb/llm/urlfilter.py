@@ -9,6 +9,7 @@ URL has all its tokens.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -51,23 +52,27 @@ def explicit(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
 def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
     """Rules ``tokens array<string>, confidence, support``, of any length, from ``tokens array<string>, bad boolean``.
 
-    Single tokens below the support are dropped before mining: they can't be in a rule. No labelled rows, or none that
-    are bad, give no rules. The number of rules is bounded by the support, not by the rows.
+    Only tokens with enough bad rows are mined: others can't be in a rule. A token that bad rows alone have is a rule as
+    it is, and as sure as any rule that holds it; it is not mined further, so that a long URL of tokens of its own doesn't
+    make the search deep. No labelled rows, or none that are bad, give no rules. The number of rules is bounded by the
+    support, not by the rows.
     """
     labelled = staged(labelled.filter("bad is not null").select("tokens", "bad"))
     n = labelled.count()
     empty = labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
     if not n:
         return empty
-    often = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= min_support * n)
-    terms = [r["t"] for r in often.select("t").sort("t").collect()]  # at most tokens per URL / min_support
+    each = labelled.select(F.explode("tokens").alias("t"), "bad").groupBy("t").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    each = staged(each.filter(F.col("bad") >= F.lit(math.ceil(min_support * n))))
+    certain = each.filter("bad = n").select(F.array("t").alias("tokens"), F.lit(1.0).alias("confidence"), (F.col("bad") / n).alias("support"))
+    terms = [r["t"] for r in each.filter("bad < n").select("t").sort("t").collect()]  # at most tokens per URL / min_support
     if not terms:
-        return empty
+        return staged(certain)
     items = F.array_intersect("tokens", F.array(*(F.lit(t) for t in terms)))
-    baskets = labelled.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items")).filter(F.size("items") > 0)
+    baskets = labelled.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
-    rules = staged(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    rules = staged(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").unionByName(certain))
     less = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("as_sure"), F.col("tokens")[0].alias("t"))
     covered = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(less, "t")
     covered = covered.filter((F.size("less") < F.size("tokens")) & (F.col("as_sure") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
