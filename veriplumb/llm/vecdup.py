@@ -37,6 +37,16 @@ DEGREE, BEAM, ALPHA = 16, 32, 1.2
 AUDITED, PART = 64, 8192
 
 
+def in_reach(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Boolean a x b: unit vectors whose cosine is ``least`` or more. A matrix product decides but for pairs at the limit;
+    these are summed one by one, so that a pair is judged alike in any block, and either way round."""
+    s = a @ b.T
+    hit = s >= least
+    u, v = np.nonzero(np.abs(s - least) < 1e-9)
+    hit[u, v] = np.einsum("pd,pd->p", a[u], b[v]) >= least
+    return hit
+
+
 def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Greedy search of all queries at once: ids and cosines of the best ``beam`` nodes of each."""
     q = len(queries)
@@ -55,7 +65,7 @@ def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray
         around = near[ids[active, best[active]]]
         fresh = (around >= 0) & ~seen[active[:, None], around]
         seen[np.repeat(active, fresh.sum(1)), around[fresh]] = True
-        found = np.einsum("ard,ad->ar", x[around], queries[active])
+        found = np.matmul(x[around], queries[active][:, :, None])[:, :, 0]
         found[~fresh] = -np.inf
         all_sims = np.concatenate([sims[active], found], axis=1)
         all_ids = np.concatenate([ids[active], np.where(fresh, around, -1)], axis=1)
@@ -68,7 +78,7 @@ def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray
 def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Neighbours for each node: the nearest candidate, then the next that no chosen one covers by ``alpha``, and so on."""
     vectors = x[candidates]
-    own = 2 - 2 * np.einsum("acd,ad->ac", vectors, x[nodes])
+    own = 2 - 2 * np.matmul(vectors, x[nodes][:, :, None])[:, :, 0]
     alive = (candidates >= 0) & (candidates != nodes[:, None])
     out = np.full((len(nodes), degree), -1, np.int64)
     rows = np.arange(len(nodes))
@@ -79,7 +89,7 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degre
         if not some.any():
             break
         out[some, k] = candidates[rows, best][some]
-        between = 2 - 2 * np.einsum("acd,ad->ac", vectors, vectors[rows, best])
+        between = 2 - 2 * np.matmul(vectors, vectors[rows, best][:, :, None])[:, :, 0]
         alive &= ~(alpha * alpha * between <= own)
         alive &= candidates != out[:, k][:, None]
     return out
@@ -147,10 +157,8 @@ def in_range(x: np.ndarray, exact: np.ndarray, near: np.ndarray, medoid: int, le
             owner, node = keys // n, keys % n
             near_enough = np.concatenate([np.einsum("pd,pd->p", x[q[owner[b : b + 50_000]]], x[node[b : b + 50_000]]) for b in range(0, len(owner), 50_000)] or [np.zeros(0)]) >= least - slack
             owner, node = owner[near_enough], node[near_enough]
-    u, v = np.nonzero(found)
-    for b in range(0, len(u), 200_000):
-        s = slice(b, b + 200_000)
-        found[u[s], v[s]] = np.einsum("pd,pd->p", exact[u[s]], exact[v[s]]) >= least
+    for a in range(0, n, 256):
+        found[a : a + 256] &= in_reach(exact[a : a + 256], exact, least)
     np.fill_diagonal(found, False)
     return found | found.T
 
@@ -170,7 +178,7 @@ def _all_pairs(exact: np.ndarray, least: float) -> np.ndarray:
     """Boolean nodes x nodes: all pairs in range, compared in blocks."""
     links = np.empty((len(exact), len(exact)), bool)
     for a in range(0, len(exact), 256):
-        links[a : a + 256] = np.einsum("ad,nd->an", exact[a : a + 256], exact) >= least
+        links[a : a + 256] = in_reach(exact[a : a + 256], exact, least)
     np.fill_diagonal(links, False)
     return links
 
@@ -178,7 +186,7 @@ def _all_pairs(exact: np.ndarray, least: float) -> np.ndarray:
 def _audit(exact: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """A seeded sample of nodes, and boolean sample x nodes: their true links."""
     sample = np.random.default_rng(9).permutation(len(exact))[:AUDITED]
-    true = np.einsum("ad,nd->an", exact[sample], exact) >= least
+    true = in_reach(exact[sample], exact, least)
     true[np.arange(len(sample)), sample] = False
     return sample, true
 
@@ -190,7 +198,7 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 GRAPH = pa.schema([("node", pa.int64()), ("neighbours", pa.list_(pa.int64()))])
-LINKS = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+LINKS = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("way", pa.string()), ("audited", pa.int64()), ("missed", pa.int64())])
 TRUE = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("true", pa.int64())])
 
 
@@ -215,6 +223,7 @@ def _search(least: float, whole: bool = False):
             return
         node, exact = _columns(t := t.sort_by("node"))
         sample, true = _audit(exact, least)
+        way, missed = "blocks", 0
         if whole or true.sum() > BEAM * len(sample):  # crowded: a search would look at most pairs anyway
             links = _all_pairs(exact, least)
         else:
@@ -225,7 +234,9 @@ def _search(least: float, whole: bool = False):
             for i, ks in enumerate(lists):
                 near[i, : len(ks)] = ks
             links = in_range(x, exact, near, int((x @ x.mean(axis=0)).argmax()), least)
-            if (true & ~links[sample]).any():  # audit failed: compare in blocks
+            missed = int((true & ~links[sample]).sum())
+            way = "graph" if not missed else "failed"
+            if missed:  # compare in blocks
                 links = _all_pairs(exact, least)
         root = _forest(links)
         label, shard, low, high = (t.column(c)[0].as_py() for c in ("label", "shard", "low", "high"))
@@ -236,7 +247,8 @@ def _search(least: float, whole: bool = False):
             own = links[s] & (np.minimum(home[s, None], home) == shard)
             own &= (np.minimum(side[s, None], side) == low) & (np.maximum(side[s, None], side) == high)
             count[s] = np.where(own, copies, 0).sum(axis=1)
-        yield record(LINKS, np.full(len(node), label), node, count, node[root])
+        first = np.arange(len(node)) == 0  # a block's figures are told once
+        yield record(LINKS, np.full(len(node), label), node, count, node[root], [way, *[None] * (len(node) - 1)], first * int(true.sum()), first * missed)
 
     return search
 
@@ -253,7 +265,7 @@ def _truth(least: float):
             true = np.zeros(len(a), np.int64)
             for b in range(0, len(n), 1024):
                 s = n[b : b + 1024]
-                found = (np.einsum("ad,nd->an", exact[a], exact[s]) >= least) & (node[a][:, None] != node[s])
+                found = in_reach(exact[a], exact[s], least) & (node[a][:, None] != node[s])
                 true += np.where(found, copies[s], 0).sum(axis=1)
             yield record(TRUE, np.full(len(a), t.column("label")[0].as_py()), node[a], true)
 
@@ -268,10 +280,10 @@ def cells(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     goes to each such c before h. If v's home is later than u's, v comes to u's.
     """
     reach = np.sqrt(max(0.0, 1 - least * least)) if least > 0 else 1.0
-    s = np.einsum("nd,cd->nc", x, c)
+    s = x @ c.T
     home = s.argmax(axis=1)
     square = (c * c).sum(axis=1)
-    gap = np.sqrt(np.maximum(0, square[home][:, None] + square - 2 * np.einsum("nd,cd->nc", c[home], c)))
+    gap = np.sqrt(np.maximum(0, square[home][:, None] + square - 2 * (c @ c.T)[home]))
     goes = s[np.arange(len(x)), home][:, None] - s <= reach * gap + 1e-6
     return home, goes & (np.arange(len(c)) <= home[:, None])
 
@@ -370,13 +382,17 @@ def short_of_links(nodes: DataFrame, links: DataFrame, labels: list[int], least:
     return [r["label"] for r in true.join(links, "node", "left").filter(F.col("true") > F.coalesce("links", F.lit(0))).select("label").distinct().collect()]
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", audit: list | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors``.
 
     Vectors link if their labels are equal and not null, and their cosine is ``least`` or more. Vectors that are null,
     empty, zero, or hold null or non-finite components link with nothing; vectors of other dimensions than their
     label's link among their own. Repeated rows are vectors of their own, linked to one another; null ids link, but a
     component's id is its least id, null only if it has none; no rows give no rows; other columns are ignored.
+
+    To the list ``audit`` go a row for each way in which groups were searched (``graph``, ``blocks`` for crowded ones,
+    ``failed`` for those compared in blocks after an audit): groups, true links of audited nodes, and links that the
+    graph had missed of them; and one of labels that were compared in blocks as a whole.
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label0"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -389,11 +405,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     centres = nodes.sparkSession.sparkContext.broadcast(fitted)
     dealt = staged(nodes.select("label", "vector", "node", "copies").mapInArrow(_deal(centres, least), "label long, vector array<double>, node long, copies long, home long, shards array<long>"))
     members = _blocks(dealt.withColumn("shard", F.explode("shards")))
-    group, schema = ["label", "shard", "low", "high"], "label long, node long, links long, root long"
+    group, schema = ["label", "shard", "low", "high"], "label long, node long, links long, root long, way string, audited long, missed long"
     graphs = staged(members.groupBy(*group).applyInArrow(_build(least), "node long, neighbours array<long>"))
     united = graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     found = staged(members.join(united, "node").groupBy(*group).applyInArrow(_search(least), schema))
+    if audit is not None:
+        audit += [r.asDict() for r in found.filter("way is not null").groupBy("way").agg(F.count("*").alias("groups"), F.sum("audited").alias("audited"), F.sum("missed").alias("missed")).orderBy("way").collect()]
     short = short_of_links(nodes, found.groupBy("node").agg(F.sum("links").alias("links")), list(fitted), least)
+    if audit is not None:
+        audit.append({"way": "labels compared whole", "groups": len(short), "audited": len(fitted), "missed": 0})
     if short:
         again = _blocks(nodes.filter(F.col("label").isin(short)).withColumn("shard", F.lit(0).cast("long")).withColumn("home", F.lit(0).cast("long")))
         again = again.groupBy(*group).applyInArrow(_search(least, whole=True), schema)
