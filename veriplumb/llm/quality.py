@@ -247,22 +247,22 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     from the text alone, at the rate of the labels. A text without a word, or null, has none: posterior 0, and it is
     rejected. Null hosts and paths are groups of their own; null ids and repeated rows are judged like others; without
     labels the evidence is a constant, and documents with words stay. Rates cover all rows.
+    With ``carry`` the columns are staged beside the evidence: each text is read for its features once.
     Documents carry no URL: unless other columns are named, ``source`` stands for the host, and ``lang`` within it for the path.
     """
     small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     keys = {"host_key": _key(host_col), "path_key": _key(host_col, path_col)}
     text, own_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    scored = staged(docs.select(own_id.alias("doc_id"), *(v.alias(k) for k, v in keys.items()), evidence(text, model).alias("evidence")))
+    held = {c: f"__{i}" for i, c in enumerate(docs.columns)} if carry else {}  # under other names, so that none clashes
+    carried = (F.col(f"`{c}`").alias(n) for c, n in held.items())
+    scored = staged(docs.select(*carried, own_id.alias("doc_id"), *(v.alias(k) for k, v in keys.items()), evidence(text, model).alias("evidence")))
     ratio = F.col("evidence") - F.lit(model.offset)
     said = labels.filter("good is not null and id is not null").groupBy("id").agg(F.min("good").alias("good"))
     taught = scored.join(small_side(said.withColumnRenamed("id", "said_id"), LABELS), F.col("doc_id") == F.col("said_id"), "left")
     known = F.when(F.col("evidence").isNull(), F.lit(None)).when(F.col("good") == 1, F.lit(CERTAIN)).when(F.col("good") == 0, F.lit(-CERTAIN)).otherwise(ratio)
     sites = small_side(site_rates(taught.select("host_key", "path_key", known.cast("double").alias("evidence"))))
     inner = scored.drop("host_key")
-    if carry:  # under other names, so that none clashes
-        held = {c: f"__{i}" for i, c in enumerate(docs.columns)}
-        inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in held.items()), keys["path_key"].alias("path_key"), evidence(text, model).alias("evidence"))
     odds = F.when(ratio.isNotNull(), F.exp(F.least(F.greatest(ratio, F.lit(-CERTAIN)), F.lit(CERTAIN))))
     grid = F.array(*(F.lit(float(g)) for g in GRID))
     posterior = F.aggregate(F.zip_with("weights", grid, lambda w, t: w * t * F.col("odds") / (t * F.col("odds") + 1 - t)), F.lit(0.0), lambda x, y: x + y)
