@@ -66,6 +66,24 @@ def test_second_pass_in_blocks(spark, monkeypatch):
     test_group_around_a_centre_and_strays(spark)
 
 
+@pytest.mark.parametrize("size", [None, "n_shingles"])
+def test_blocks_let_all_pairs_of_different_components_meet(spark, monkeypatch, size):
+    monkeypatch.setattr(neardup, "SIDE", 16)
+    monkeypatch.setattr(neardup, "SHINGLES", 200)
+    rows = [("large", i, 1 if i < 300 else i // 3, 10 * (1 + i % 9)) for i in range(320)] + [("small", i, i % 2, 1) for i in range(10)] + [("even", i, i % 20, 5) for i in range(60)]
+    df = neardup.staged(spark.createDataFrame(rows, "key string, node long, comp long, n_shingles long"))
+    dealt = defaultdict(list)
+    for r in neardup._sides(df, ["key"], size).collect():
+        dealt[r["key"], r["low"], r["high"]].append((r["node"], r["comp"]))
+    met = {(k, *sorted((a, b))) for (k, _, _), block in dealt.items() for a, x in block for b, y in block if x != y}
+    assert met == {(k, a, b) for k, a, x, _ in rows for j, b, y, _ in rows if j == k and a < b and x != y}
+    assert all(len(block) == len(set(block)) for block in dealt.values()) and {k for k in dealt if k[0] == "small"} == {("small", 0, 0)}
+    assert all(len({c for _, c in block}) > 1 for (k, a, b), block in dealt.items() if a != b)
+    large = sum(len(block) for (k, *_), block in dealt.items() if k == "large")
+    # 300 rows in 19 cuts meet 20 others in 2, which meet all 21; were all cuts to meet, there would be 20 * 320 rows
+    assert max(map(len, dealt.values())) < 80 and (size is not None or large == 300 * 2 + 20 * 21)
+
+
 def test_cases(spark):
     rows = neardup.near_duplicates(clashing(documents(spark)), words=2).collect()
     by = defaultdict(list)

@@ -177,13 +177,23 @@ def _settle(words: int, percent: int):
 
 
 def _sides(rows: DataFrame, group: list[str], size: str | None = None) -> DataFrame:
-    """Staged ``rows`` with ``low, high``: groups of more than ``SIDE`` rows, or ``SHINGLES`` of the column ``size``, are
-    cut, and each two cuts meet once."""
-    sides = F.count("*") / SIDE if size is None else F.greatest(F.count("*") / SIDE, F.sum(size) / SHINGLES)
-    large = rows.groupBy(*group).agg(F.ceil(sides).cast("int").alias("sides")).filter("sides > 1")
-    cut = rows.join(small_side(large), group, "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
-    cut = cut.withColumn("side", F.pmod(F.xxhash64(F.lit(17), "node"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    return cut.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("side", "other", "sides")
+    """Staged ``rows`` of groups with several components (``comp``), with ``low, high`` of the block that each is dealt to.
+
+    Groups of more than ``SIDE`` rows, or ``SHINGLES`` of the column ``size``, are cut. Cuts of the group's largest component
+    meet those of all other rows, which also meet one another, each two once; they don't meet among themselves, where no
+    pair is of different components. A large group with few rows outside its largest component so grows in proportion.
+    """
+    load = F.count("*") / SIDE if size is None else F.greatest(F.count("*") / SIDE, F.sum(size) / SHINGLES)
+    kinds = rows.groupBy(*group, "comp").agg(load.alias("load"))
+    most = F.max(F.struct("load", "comp"))
+    large = kinds.groupBy(*group).agg(most["comp"].alias("main"), most["load"].alias("inside"), F.sum("load").alias("load")).filter("load > 1")
+    large = large.select(*group, "main", F.ceil("inside").cast("int").alias("inside"), F.greatest(F.ceil(F.col("load") - F.col("inside")), F.lit(1)).cast("int").alias("outside"))
+    cut = rows.join(small_side(large), group, "left")
+    draw, outer = F.xxhash64(F.lit(17), "node"), F.col("comp") != F.col("main")
+    side = F.when(F.col("main").isNull(), F.lit(0)).when(outer, F.pmod(draw, F.col("outside"))).otherwise(F.col("outside") + F.pmod(draw, F.col("inside")))
+    last = F.when(F.col("main").isNull(), F.lit(0)).when(outer, F.col("outside") + F.col("inside") - 1).otherwise(F.col("outside") - 1)
+    cut = cut.withColumn("side", side.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return cut.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("side", "other", "main", "inside", "outside")
 
 
 def _texts_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
