@@ -73,6 +73,28 @@ def test_files(spark, tmp_path):
     assert rows == [(2, "two", "TWO"), (3, None, "three")]
 
 
+def test_huge_texts_of_several_files(spark, tmp_path):
+    """Lines are numbered in the order of files, whatever their sizes, and of the bytes of a file that tasks share."""
+    lines = [f"line {i}" for i in range(900)]
+    for name, cuts in (("a", (0, 10, 400, 420, 900)), ("b", (0, 500, 510, 515, 900))):
+        (tmp_path / name).mkdir()
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            (tmp_path / name / f"part-{k + 99_998:05d}-x.txt").write_text("".join(f"{x}\n" for x in ("X" + s if name == "a" and s == "line 777" else s for s in lines[i:j])))
+    paths = [str(tmp_path / "a"), str(tmp_path / "b")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert [tuple(r) for r in textdiff.compare_huge(spark, *paths).collect()] == [(778, "Xline 777", "line 777")]
+            assert textdiff.compare_huge(spark, *paths, remove_lines=["77"]).isEmpty()
+            texts = [spark.read.text(p) for p in paths]
+            assert cmp.compare(*texts).n_rows == 1
+            got = with_row_numbers(texts[0].sortWithinPartitions("value"), "n").agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
+            assert tuple(got) == (1, 900, 900)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize(
     ("texts", "want"),
     [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +23,43 @@ def settled(df: DataFrame) -> bool:
         return False
 
 
+def split_of(df: DataFrame) -> list[Column]:
+    """What tells and orders the splits of the files that ``df`` reads: folder, number of the part, file and first byte.
+
+    Spark packs files into tasks by size, so partitions are not in the order of the files. No columns for plans that do
+    more than read, filter and select, as a sort may mix the rows of a task's splits.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    path = F.col("_metadata.file_path")
+    part = F.regexp_extract(path, r"/part-(\d{1,18})[^/]*$", 1).try_cast("long")
+    split = [F.regexp_extract(path, "^(.*/)", 1), part, path, F.col("_metadata.file_block_start")]
+    try:
+        return split if plan.children().isEmpty() and df.select(*split).columns else []
+    except AnalysisException:
+        return []
+
+
 def with_row_numbers(df: DataFrame, name: str, first: int = 1) -> DataFrame:
-    """``df`` with consecutive numbers in the order of its partitions and their rows.
+    """``df`` with consecutive numbers in the order of its files and their rows, or else of its partitions.
 
-    Each row gets its partition and its place there; a table of one row a partition says where partitions start. Where
-    two jobs might see different partitions the placed rows are staged first, so that both read the same ones.
+    Each row gets its partition, or its split of a file, and its place there; a table of one row for each says where they
+    start. Where two jobs might see different partitions the placed rows are staged first, so that both read the same ones.
     """
-    part, at, start = (f"__{k}{len(df.columns)}_{name}" for k in ("part", "at", "start"))
-    placed = df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    if not settled(df):
+    at, start = (f"__{k}{len(df.columns)}_{name}" for k in ("at", "start"))
+    fixed = settled(df)
+    split = (split_of(df) if fixed else []) or [F.spark_partition_id()]
+    parts = [f"__part{len(df.columns)}_{i}_{name}" for i in range(len(split))]
+    placed = df.select("*", *(s.alias(p) for s, p in zip(split, parts, strict=True)), F.monotonically_increasing_id().alias(at))
+    if not fixed:
         placed = staged(placed)
-    counts = placed.groupBy(col(part)).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(col(part)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(col(part), before.alias(start))
-    joined = placed.join(F.broadcast(starts), part)
+    keys = [col(p) for p in parts]
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min(col(at)).alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(k.alias(f"{p}_") for k, p in zip(keys, parts, strict=True)), (before - F.col("least")).alias(start))
+    same = [k.eqNullSafe(col(f"{p}_")) for k, p in zip(keys, parts, strict=True)]
+    joined = placed.join(F.broadcast(starts), same)
     return joined.select(*(col(c) for c in df.columns if c != name), (col(start) + col(at) + F.lit(first)).cast("long").alias(name))
 
 
