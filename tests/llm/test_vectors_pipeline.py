@@ -143,6 +143,57 @@ def test_audit_of_labels_finds_links_lost_between_shards(spark, monkeypatch):
     assert found_of(vecdup.near_vectors(frame(spark, x))) == links_and_components(x)
 
 
+def random_and_copies(n, d=32, seed=6):
+    """Random unit vectors; a tenth are near another, on both sides of the limit, and some equal to one."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    k = n // 10
+    off = rng.normal(size=(k, d)) / np.sqrt(d)
+    x[:k] = x[k : 2 * k] + rng.uniform(0.02, 0.25, (k, 1)) * off
+    x[-20:] = x[40:60]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_groups_by_sketches():
+    for x in (random_and_copies(4000), group_and_others(4000, 900, 12), np.eye(1, 16).repeat(2500, 0) + 0.2 * random_and_copies(2500, 16)):
+        x = vecdup.unit(x)
+        for least in (0.98, 0.6):
+            want = vecdup._compared(x.astype(np.float32), np.arange(len(x)), np.arange(len(x)), least - 1e-4)[0]
+            assert vecdup.close_groups(x.astype(np.float32), least).tolist() == want.tolist()
+    for n, least in ((5000, 0.98), (60_000, 0.98), (1_000_000, 0.9)):
+        bits, tables = vecdup.sketch_size(n, 64, least)
+        assert tables and (1 - (1 - np.arccos(least) / np.pi) ** bits) ** tables <= vecdup.LOST
+    assert vecdup.sketch_size(2000, 64, 0.0) == (0, 0)
+
+
+@pytest.mark.parametrize("held", [vecdup.HELD, 60_000])
+def test_nodes_without_links_go_to_no_shard(spark, monkeypatch, held):
+    monkeypatch.setattr(vecdup, "HELD", held)
+    x, audit = random_and_copies(7000), []
+    assert found_of(vecdup.near_vectors(frame(spark, x), audit=audit)) == links_and_components(x)
+    assert sum(r["groups"] for r in audit if r["way"] in ("graph", "blocks")) == 1 and audit[-1] == {"way": "labels compared whole", "groups": 0, "audited": 1, "missed": 0}
+
+
+def test_links_that_the_graph_misses_of_any_node_are_added():
+    x = random_and_copies(800)
+    zero = np.zeros(len(x), np.int64)
+    lists = [[(i + 1) % 400] if i < 400 else [] for i in range(len(x))]  # half the nodes are out of the search's reach
+    task = pa.RecordBatch.from_pydict({**dict.fromkeys(("label", "shard", "low", "high", "side", "home"), zero), "node": np.arange(len(x)), "copies": zero + 1, "vector": list(x), "neighbours": lists})
+    (found,) = vecdup._search(0.98)(iter([task]))
+    assert (found["links"].to_pylist(), found["root"].to_pylist()) == links_and_components(x)
+    assert found["way"][0].as_py() == "graph" and found["missed"][0].as_py() > 0
+
+
+def test_label_that_sketches_fail_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(vecdup, "groups_of", lambda nodes, sizes, least: nodes.selectExpr("node", "node as root").limit(0))
+    x, audit = random_and_copies(2500), []
+    x[:1200] = x[:1] + 0.01 * x[1200:2400]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert found_of(vecdup.near_vectors(frame(spark, x), audit=audit)) == links_and_components(x)
+    assert audit[-1]["groups"] == 1
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r["doc_id"] for r in docs.collect()}

@@ -1,13 +1,16 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors of a label are one node. A node's home is the shard of its nearest centre, and it visits every earlier shard
+Equal vectors of a label are one node. Nodes of a label with more than ``WHOLE`` are first told apart by sketches, the sides
+of random planes that they lie on: nodes that share a sketch and are in range are of one group, groups are united, and
+nodes of a group of their own, which link with nothing, go no further. Groups, several small ones together, take the
+label's place in what follows. A node's home is the shard of its nearest centre, and it visits every earlier shard
 that could be home to a vector in its range, so each pair in range meets in the earlier of its two homes and counts there.
 Centres that would make nodes visit more shards than they save are left out; a group of near copies has one.
 Each shard builds a flat graph: nodes are inserted by a greedy search from the medoid, and their neighbours pruned
 robustly, so that some links stay long. The shards' adjacency lists are united per node. Then each node searches greedily
 from the medoid, and the search expands through all it finds in range. Every pair in range is verified in double
-precision, and each shard audits a sample of its nodes against brute force; a shard that missed a link, or whose nodes
-have more links than a beam holds, is compared in blocks instead. Labels of several shards audit a sample against all
+precision, and an exact check of each shard's pairs follows, which adds links that the graph has missed; a shard whose
+nodes have more links than a beam holds, by a sample, is compared in blocks only. Labels told apart by sketches audit a sample against all
 their nodes; a label that missed a link is compared in blocks as a whole.
 
 A shard over ``SHARD`` nodes is split into blocks, and each two blocks are one graph: no task holds more than two blocks,
@@ -33,8 +36,12 @@ WHOLE, PER_CENTRE, FITTED, CENTRES = 1500, 750, 20_000, 4096
 #: Vectors of a label that the number of its centres is chosen by.
 WEIGHED = 2000
 DEGREE, BEAM, ALPHA = 16, 32, 1.2
-#: Nodes that a shard audits, and a label of several shards (about as many, by hash) against parts of so many nodes.
-AUDITED, PART = 64, 8192
+#: Nodes that tell whether a shard is crowded, and that a label audits which is apart by sketches (about as many, by hash; fewer
+#: if all labels' would be over ``ASKED``, but one).
+AUDITED, ASKED = 64, 20_000
+#: Chance that a pair at the limit shares no sketch, numbers that the vectors of a block hold, and nodes that share a sketch
+#: from which on they are compared by matrix products.
+LOST, HELD, RUN = 1e-6, 1 << 22, 32
 
 
 def in_reach(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -191,15 +198,99 @@ def _audit(exact: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return sample, true
 
 
+def unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length one. The largest component goes first, so that no square is out of range."""
+    x = raw / np.abs(raw).max(axis=1, keepdims=True, initial=0) + 0.0
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def sketch_size(n: int, d: int, least: float) -> tuple[int, int]:
+    """Planes of a sketch, and sketches: the cheapest by which a pair at ``least`` shares none with a chance of ``LOST`` at
+    most. No sketches where comparing all ``n`` nodes costs less. Costs are measured nanoseconds a node."""
+    same = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi
+    best = (0.033 * d * n, 0, 0)
+    for bits in range(1, 25):
+        share = min(same**bits, 1 - 1e-9)
+        tables = max(1, int(np.ceil(np.log(LOST) / np.log1p(-share)))) if share > 1e-6 else 1 << 30
+        best = min(best, (tables * (0.05 * d * bits + 150 + 100 * n * 0.5**bits), bits, tables))
+    return best[1:]
+
+
+def _joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``group``, the least node of each node's group, after linking ``a`` with ``b``."""
+    while True:
+        u, v = group[a], group[b]
+        apart = u != v
+        if not apart.any():
+            return group
+        np.minimum.at(group, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
+        while not np.array_equal(up := group[group], group):
+            group = up
+
+
+def _compared(x: np.ndarray, nodes: np.ndarray, group: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """``group`` after comparing all of ``nodes`` that are not of one group already, and the number of products."""
+    left, y, work = nodes, x[nodes], 0
+    while True:
+        kinds, counts = np.unique(group[nodes], return_counts=True)
+        left = left[group[left] != kinds[counts.argmax()]]  # those of the largest meet the rest as the rest's partners
+        if not len(left):
+            return group, work
+        some, left = left[:256], left[256:]
+        i, j = np.nonzero((x[some] @ y.T >= least) & (group[some][:, None] != group[nodes]))
+        group, work = _joined(group, some[i], nodes[j]), work + len(some) * len(nodes)
+
+
+def close_groups(x: np.ndarray, least: float, seed: int = 11) -> np.ndarray:
+    """Least node of each node's group: nodes of unit vectors (single precision) that chains of pairs in range connect.
+
+    Pairs that share a sketch are compared, all of them, but for those that others have put into one group. If sketches
+    save nothing, as where all vectors point one way, all nodes are compared.
+    """
+    n, d = x.shape
+    group, least, spent = np.arange(n), least - 1e-4, 0
+    bits, tables = sketch_size(n, d, least)
+    rng = np.random.default_rng(seed)
+    for _ in range(tables):
+        sides = x @ rng.standard_normal((d, bits)).astype(np.float32) > 0
+        code = np.zeros(n, np.uint16 if bits <= 16 else np.uint32)
+        for k in range(bits):
+            code |= sides[:, k].astype(code.dtype) << code.dtype.type(k)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        sizes = np.diff(np.append(starts, n))
+        place = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= RUN), sizes))
+        for gap in range(1, RUN):
+            place = place[place + gap < n]
+            place = place[code[place + gap] == code[place]]
+            if not len(place):
+                break
+            a, b = order[place], order[place + gap]
+            apart = group[a] != group[b]
+            a, b = a[apart], b[apart]
+            hit = np.concatenate([np.einsum("pd,pd->p", x[a[c : c + 50_000]], x[b[c : c + 50_000]]) for c in range(0, len(a), 50_000)] or [np.zeros(0)]) >= least
+            group, spent = _joined(group, a[hit], b[hit]), spent + 32 * len(a)
+        for k in np.flatnonzero(sizes > RUN):
+            group, work = _compared(x, order[starts[k] : starts[k] + sizes[k]], group, least)
+            spent += work
+        if spent > n * n:
+            break
+    else:
+        if tables:
+            return group
+    return _compared(x, np.arange(n), group, least)[0]
+
+
 def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     flat = t.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64)
-    raw = flat.reshape(t.num_rows, -1)
-    return t.column("node").to_numpy(), raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
+    return t.column("node").to_numpy(), unit(flat.reshape(t.num_rows, -1))
 
 
 GRAPH = pa.schema([("node", pa.int64()), ("neighbours", pa.list_(pa.int64()))])
 LINKS = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("way", pa.string()), ("audited", pa.int64()), ("missed", pa.int64())])
 TRUE = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("true", pa.int64())])
+ROOTS = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
 
 def _build(least: float):
@@ -233,11 +324,9 @@ def _search(least: float, whole: bool = False):
             near = np.full((len(node), max(1, max(map(len, lists)))), -1, np.int64)
             for i, ks in enumerate(lists):
                 near[i, : len(ks)] = ks
-            links = in_range(x, exact, near, int((x @ x.mean(axis=0)).argmax()), least)
-            missed = int((true & ~links[sample]).sum())
-            way = "graph" if not missed else "failed"
-            if missed:  # compare in blocks
-                links = _all_pairs(exact, least)
+            found = in_range(x, exact, near, int((x @ x.mean(axis=0)).argmax()), least)
+            way, links = "graph", _all_pairs(exact, least)  # a sample alone leaves links of other nodes missed
+            true, missed = links, int((links & ~found).sum())
         root = _forest(links)
         label, shard, low, high = (t.column(c)[0].as_py() for c in ("label", "shard", "low", "high"))
         home, side, copies = (t.column(c).to_numpy() for c in ("home", "side", "copies"))
@@ -253,23 +342,49 @@ def _search(least: float, whole: bool = False):
     return search
 
 
-def _truth(least: float):
-    """Links of the nodes asked for with the other nodes of one part of their label."""
+def _truth(asked, least: float):
+    """Links that the nodes asked for, by label, have with the nodes of a task."""
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true = {label: np.zeros(len(node), np.int64) for label, (node, _) in asked.value.items()}
+        for b in batches:
+            labels = b.column("label").to_numpy()
+            for label in set(labels.tolist()) & set(true):
+                t = pa.Table.from_batches([b.filter(pa.array(labels == label))])
+                (node, x), copies = _columns(t), t.column("copies").to_numpy()
+                found = in_reach(asked.value[label][1], x, least) & (asked.value[label][0][:, None] != node)
+                true[label] += np.where(found, copies, 0).sum(axis=1)
+        for label, n in true.items():
+            yield record(TRUE, np.full(len(n), label), asked.value[label][0], n)
+
+    return truth
+
+
+def _sketched(least: float):
+    """``node, root`` of the nodes of two blocks that have others in their group."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         if t.num_rows:
-            node, exact = _columns(t)
-            asked, copies = t.column("asked").to_numpy(), t.column("copies").to_numpy()
-            a, n = np.flatnonzero(asked), np.flatnonzero(~asked)
-            true = np.zeros(len(a), np.int64)
-            for b in range(0, len(n), 1024):
-                s = n[b : b + 1024]
-                found = in_reach(exact[a], exact[s], least) & (node[a][:, None] != node[s])
-                true += np.where(found, copies[s], 0).sum(axis=1)
-            yield record(TRUE, np.full(len(a), t.column("label")[0].as_py()), node[a], true)
+            node, x = _columns(t.sort_by("node"))
+            del t
+            group = close_groups(x.astype(np.float32), least)
+            some = np.bincount(group, minlength=len(node))[group] > 1
+            yield record(ROOTS, node[some], node[group[some]])
 
-    return truth
+    return sketched
+
+
+def groups_of(nodes: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """``node, root`` for the nodes of labels in ``sizes`` (``label, n, d``) that have others in their group."""
+    cut = F.ceil(F.col("n") * F.col("d") / HELD).cast("int")
+    own = nodes.select("label", "node", "vector").join(small_side(sizes.select("label", cut.alias("sides"))), "label")
+    own = own.withColumn("side", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    own = own.select("label", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "vector")
+    roots = staged(own.groupBy("label", "low", "high").applyInArrow(_sketched(least), "node long, root long"))
+    if sizes.filter(cut > 1).isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def cells(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +443,7 @@ def centres_of(nodes: DataFrame, least: float) -> dict[int, np.ndarray]:
         x = np.array([r["vector"] for r in sorted(rows, key=lambda r: r["node"]) if r["label"] == label], float)
         if not len(x):
             continue
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        x = unit(x)
         c = x[:: max(1, len(x) // min(CENTRES, -(-n // PER_CENTRE)))][: min(CENTRES, -(-n // PER_CENTRE))].copy()
         for _ in range(5):
             home = np.einsum("nd,cd->nc", x, c).argmax(axis=1)
@@ -350,8 +465,7 @@ def _deal(centres, least: float):
                 homes, shards = np.zeros(b.num_rows, np.int64), [[0]] * b.num_rows
                 for label in set(labels.tolist()) & set(centres.value):
                     rows = np.flatnonzero(labels == label)
-                    x = np.array(b.column("vector").take(pa.array(rows)).to_pylist(), float)
-                    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                    x = unit(np.array(b.column("vector").take(pa.array(rows)).to_pylist(), float))
                     homes[rows], goes = cells(x, centres.value[label], least)
                     for i, g in zip(rows.tolist(), goes, strict=True):
                         shards[i] = np.flatnonzero(g).tolist()
@@ -368,18 +482,19 @@ def _blocks(members: DataFrame) -> DataFrame:
     return members.select("label", "shard", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "copies", "home", "vector")
 
 
-def short_of_links(nodes: DataFrame, links: DataFrame, labels: list[int], least: float) -> list[int]:
-    """Those of ``labels`` with a node, of a sample by hash, that has more links among all the label's than in ``links``."""
-    if not labels:
-        return []
-    own = nodes.filter(F.col("label").isin(labels)).select("label", "node", "copies", "vector")
-    sizes = small_side(own.groupBy("label").agg(F.count("*").alias("n")))
-    own = own.join(sizes, "label").withColumn("parts", F.ceil(F.col("n") / PART))
-    every = own.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts"))).withColumn("asked", F.lit(False))
-    some = own.filter(F.pmod(F.xxhash64(F.lit(6), "node"), F.col("n")) < AUDITED).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asked", F.lit(True))
-    true = every.unionByName(some).select("label", "part", "node", "copies", "vector", "asked").groupBy("label", "part").applyInArrow(_truth(least), "label long, node long, true long")
-    true = true.groupBy("label", "node").agg(F.sum("true").alias("true"))
-    return [r["label"] for r in true.join(links, "node", "left").filter(F.col("true") > F.coalesce("links", F.lit(0))).select("label").distinct().collect()]
+def short_of_links(nodes: DataFrame, links: DataFrame, sizes: DataFrame, least: float) -> list[int]:
+    """Those labels in ``sizes`` with a node, of a sample by hash, that has more links among all the label's than in ``links``."""
+    labels = sizes.count()
+    own = nodes.join(small_side(sizes.select("label", "n")), "label")
+    some = own.filter(F.pmod(F.xxhash64(F.lit(6), "node"), F.col("n")) < max(1, min(AUDITED, ASKED // labels))).select("label", "node", "vector").collect()
+    asked = {}
+    for r in some:
+        asked.setdefault(r["label"], []).append((r["node"], r["vector"]))
+    asked = {k: (np.array([n for n, _ in v]), unit(np.array([x for _, x in v], float))) for k, v in asked.items()}
+    true = own.select("label", "node", "copies", "vector").mapInArrow(_truth(nodes.sparkSession.sparkContext.broadcast(asked), least), "label long, node long, true long")
+    true = small_side(true.groupBy("label", "node").agg(F.sum("true").alias("true")))
+    have = links.join(true, "node").groupBy("node").agg(F.max("links").alias("links"))
+    return [r["label"] for r in true.join(have, "node", "left").filter(F.col("true") > F.coalesce("links", F.lit(0))).select("label").distinct().collect()]
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", audit: list | None = None) -> DataFrame:
@@ -390,20 +505,36 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     label's link among their own. Repeated rows are vectors of their own, linked to one another; null ids link, but a
     component's id is its least id, null only if it has none; no rows give no rows; other columns are ignored.
 
-    To the list ``audit`` go a row for each way in which groups were searched (``graph``, ``blocks`` for crowded ones,
-    ``failed`` for those compared in blocks after an audit): groups, true links of audited nodes, and links that the
-    graph had missed of them; and one of labels that were compared in blocks as a whole.
+    To the list ``audit`` go a row for each way in which groups were searched (``graph``, ``blocks`` for crowded ones):
+    groups, true links of checked nodes, and links that the graph had missed of them; and one of labels that were
+    compared in blocks as a whole.
     """
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label0"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    vector = F.col(f"`{vector_col}`").cast(kind if kind == "array<float>" else "array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label0"), vector.alias("vector"))
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))
     whole = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0) & F.col("label0").isNotNull()
-    largest = F.array_max(F.transform("vector", F.abs))
-    sound = rows.filter(whole).select("vec_id", "row", F.struct(F.col("label0").cast("string"), F.size("vector").cast("string")).alias("kind"), F.transform("vector", lambda c: c / largest + 0.0).alias("vector"))
-    keyed = staged(sound.withColumn("label", F.xxhash64("kind")))
-    nodes = staged(keyed.groupBy("label", "vector").agg(F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count("*").alias("copies")))
-    fitted = centres_of(nodes, least)
+    sound = rows.filter(whole).withColumn("label", F.xxhash64(F.struct(F.col("label0").cast("string"), F.size("vector").cast("string"))))
+    largest = F.array_max(F.transform("vector", lambda c: F.abs(c).cast("double")))
+    scaled = F.transform(F.array(largest), lambda m: F.transform("vector", lambda c: c / m + 0.0))  # in a list, so as to be computed once
+    digest = F.transform(scaled, lambda v: F.struct(F.xxhash64(F.lit(1), v), F.xxhash64(F.lit(2), v)))
+    keyed = staged(sound.select("row", "vec_id", "label", F.size("vector").alias("d"), digest.alias("digest")).withColumn("digest", F.col("digest")[0]))
+    same = ["label", "digest"]
+    equal = staged(keyed.groupBy(*same).agg(F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("d").alias("d")))
+    repeated = small_side(keyed.join(small_side(equal.filter("copies > 1")), same).select("row", "node", "copies"))
+    nodes = sound.join(repeated, "row", "left").filter("node is null or node = row").select("label", F.col("row").alias("node"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "vector")
+    nodes = staged(nodes)
+    sizes = staged(equal.groupBy("label").agg(F.count("*").alias("n"), F.first("d").alias("d")).filter(F.col("n") > WHOLE))
+    some, sketched = nodes, not sizes.isEmpty()
+    if sketched:
+        roots = groups_of(nodes, sizes, least)
+        per = small_side(roots.join(equal.select("label", "node"), "node").groupBy("label").agg(F.ceil(F.count("*") / WHOLE).alias("parts")))
+        close = nodes.join(small_side(roots), "node").join(per, "label")
+        close = close.select(F.xxhash64("label", F.pmod(F.xxhash64(F.lit(2), "root"), "parts")).alias("label"), "node", "copies", "vector")
+        some = staged(nodes.join(small_side(sizes.select("label")), "label", "left_anti").select(*close.columns).unionByName(close))
+    fitted = centres_of(some, least)
     centres = nodes.sparkSession.sparkContext.broadcast(fitted)
-    dealt = staged(nodes.select("label", "vector", "node", "copies").mapInArrow(_deal(centres, least), "label long, vector array<double>, node long, copies long, home long, shards array<long>"))
+    dealt = staged(some.select("label", "vector", "node", "copies").mapInArrow(_deal(centres, least), f"label long, vector {rows.schema['vector'].dataType.simpleString()}, node long, copies long, home long, shards array<long>"))
     members = _blocks(dealt.withColumn("shard", F.explode("shards")))
     group, schema = ["label", "shard", "low", "high"], "label long, node long, links long, root long, way string, audited long, missed long"
     graphs = staged(members.groupBy(*group).applyInArrow(_build(least), "node long, neighbours array<long>"))
@@ -411,19 +542,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     found = staged(members.join(united, "node").groupBy(*group).applyInArrow(_search(least), schema))
     if audit is not None:
         audit += [r.asDict() for r in found.filter("way is not null").groupBy("way").agg(F.count("*").alias("groups"), F.sum("audited").alias("audited"), F.sum("missed").alias("missed")).orderBy("way").collect()]
-    short = short_of_links(nodes, found.groupBy("node").agg(F.sum("links").alias("links")), list(fitted), least)
+    short = short_of_links(nodes, found.groupBy("node").agg(F.sum("links").alias("links")), sizes, least) if sketched else []
     if audit is not None:
-        audit.append({"way": "labels compared whole", "groups": len(short), "audited": len(fitted), "missed": 0})
+        audit.append({"way": "labels compared whole", "groups": len(short), "audited": sizes.count(), "missed": 0})
     if short:
-        again = _blocks(nodes.filter(F.col("label").isin(short)).withColumn("shard", F.lit(0).cast("long")).withColumn("home", F.lit(0).cast("long")))
+        whole_label = nodes.filter(F.col("label").isin(short))
+        again = _blocks(whole_label.withColumn("shard", F.lit(0).cast("long")).withColumn("home", F.lit(0).cast("long")))
         again = again.groupBy(*group).applyInArrow(_search(least, whole=True), schema)
-        found = staged(found.filter(~F.col("label").isin(short)).unionByName(again))
+        found = staged(found.join(whole_label.select("node"), "node", "left_anti").select(*found.columns).unionByName(again))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    comps = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    comps = equal.select(*same, "node", "least", "copies").join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    comps = staged(comps.join(small_side(links), "node", "left"))
     ids = comps.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = staged(nodes.select("label", "vector", "node", "copies").join(links, "node", "left").join(comps.select("node", "root"), "node").join(ids, "root").select("label", "vector", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    per_row = keyed.join(known, ["label", "vector"]).select("row", "component_id", "n_links", F.lit(True).alias("sound"))
+    known = comps.join(ids, "root").select(*same, "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_row = keyed.join(known, same).select("row", "component_id", "n_links", F.lit(True).alias("sound"))
     out = rows.select("vec_id", "row").join(per_row, "row", "left")
     component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
