@@ -184,3 +184,8 @@ def test_near_duplicates_keep_one_row_and_lose_no_text(spark):
 def test_untaught_language_rejects_nothing(spark):
     docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.in_a_language(spark, docs, SF).count() == docs.count()
+
+
+def test_a_text_is_parsed_once_for_its_language(spark):
+    said = corpus_pipeline.in_a_language(spark, documents(spark), SF)
+    assert said._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1

@@ -298,7 +298,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; equal names among its columns are replaced."""
+    """``docs`` with ``lang_pred`` and ``score``; equal names among its columns are replaced.
+
+    The function is marked as not deterministic, though it is, so that each text is parsed once: a later filter by the
+    prediction would otherwise be moved below it with a call of its own, in a second worker of each task.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -308,5 +312,5 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         return pa.StructArray.from_arrays([pa.array([x for a, _ in parts for x in a], pa.string()), pa.array([x for _, b in parts for x in b], pa.float64())], ["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), said(F.col(f"`{text_col}`").cast("string")).alias("__said"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), said.asNondeterministic()(F.col(f"`{text_col}`").cast("string")).alias("__said"))
     return rows.select(*(F.col(f"`{c}`") for c in kept), "__said.lang_pred", "__said.score")
